@@ -82,7 +82,8 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> int:
 
 
 def _round(pdf: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["order", "key", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    # largest first: partners are of like size, and what is left fractional at the end is a small document
+    pdf = pdf.sort_values(["size", "order", "key"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     name = "" if pd.isna(pdf["source"].iat[0]) else "=" + pdf["source"].iat[0]
     rng = np.random.default_rng([seed, level, int(pdf["grp"].iat[0]), zlib.crc32(name.encode("utf-8", "surrogatepass"))])
     p = pdf["p"].to_numpy(float).copy()
