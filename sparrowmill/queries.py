@@ -1,6 +1,314 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine and their SQL twins.
+
+Each query is a text in the dialect, run over the driver's tables; sums of doubles are rounded, since their last digits depend on
+the order of summing."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparrowmill import operators as ops
+from sparrowmill.plans.cardinality import Injected
+from sparrowmill.session import Engine
+from sparrowmill.sources import dsv, sinks
+from sparrowmill.types import DATE, INT8, Type
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    """An engine over the driver's tables."""
+    e = Engine(spark, **options)
+    for name in TABLES:
+        e.register(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return e
+
+
+def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
+    return df.select(*(F.round(F.col(f"`{c}`"), digits).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes))
+
+
+def add(name: str, text: str, oracle: str, round_: bool = False, **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = engine(spark, sf_dir, **options).sql(text)
+        return rounded(df) if round_ else df
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle
+
+
+def query(oracle: str):
+    def put(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, oracle
+        return f
+
+    return put
+
+
+# ---------------------------------------------------------------- pricing and shipping reports
+
+add(
+    "tpch_q1",
+    """SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, SUM(l_extendedprice) AS sum_base_price,
+              SUM(l_extendedprice * (1 - l_discount)) AS sum_disc_price, SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge,
+              AVG(l_quantity) AS avg_qty, AVG(l_extendedprice) AS avg_price, AVG(l_discount) AS avg_disc, COUNT(*) AS count_order
+       FROM lineitem WHERE l_shipdate <= d'1998-09-02 00:00:00'
+       GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
+    """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base_price,
+              ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, ROUND(SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+              ROUND(AVG(l_quantity), 2) AS avg_qty, ROUND(AVG(l_extendedprice), 2) AS avg_price, ROUND(AVG(l_discount), 2) AS avg_disc, COUNT(*) AS count_order
+       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY 1, 2""",
+    True,
+)
+add(
+    "tpch_q3",
+    """SELECT l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue, o_orderdate
+       FROM customer, orders, lineitem
+       WHERE c_mktsegment = "BUILDING" AND c_custkey = o_custkey AND l_orderkey = o_orderkey
+         AND o_orderdate < d'1998-03-15 00:00:00' AND l_shipdate > d'1998-03-15 00:00:00'
+       GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+    """SELECT l_orderkey, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+       FROM customer, orders, lineitem
+       WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
+         AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00'
+       GROUP BY l_orderkey, o_orderdate ORDER BY SUM(l_extendedprice * (1 - l_discount)) DESC, o_orderdate, l_orderkey LIMIT 10""",
+    True,
+)
+add(
+    "tpch_q6",
+    """SELECT SUM(l_extendedprice * l_discount) AS revenue FROM lineitem
+       WHERE l_shipdate >= d'1996-01-01 00:00:00' AND l_shipdate < d'1997-01-01 00:00:00' AND l_discount > 0.04 AND l_discount < 0.08 AND l_quantity < 24""",
+    """SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+       WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount > 0.04 AND l_discount < 0.08 AND l_quantity < 24""",
+    True,
+)
+add(
+    "tpch_q12",
+    """SELECT l_linestatus, o_orderpriority, COUNT(*) AS n FROM orders, lineitem
+       WHERE o_orderkey = l_orderkey AND (o_orderpriority = "1-URGENT" OR o_orderpriority = "2-HIGH") AND l_shipdate >= d'1997-01-01 00:00:00'
+       GROUP BY l_linestatus, o_orderpriority ORDER BY l_linestatus, o_orderpriority""",
+    """SELECT l_linestatus, o_orderpriority, COUNT(*) AS n FROM orders, lineitem
+       WHERE o_orderkey = l_orderkey AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1, 2 ORDER BY 1, 2""",
+)
+add(
+    "tpch_q14",
+    """SELECT SUM(l_extendedprice * (1 - l_discount)) AS promo_revenue, COUNT(*) AS n FROM lineitem, part
+       WHERE l_partkey = p_partkey AND p_type LIKE "PROMO%" AND l_shipdate >= d'1997-09-01 00:00:00' AND l_shipdate < d'1998-09-01 00:00:00'""",
+    """SELECT ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS promo_revenue, COUNT(*) AS n FROM lineitem, part
+       WHERE l_partkey = p_partkey AND p_type LIKE 'PROMO%' AND l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1998-09-01'""",
+    True,
+)
+
+# ---------------------------------------------------------------- projections, literals and scalar expressions
+
+add("select_star", "SELECT * FROM nation, region WHERE n_regionkey = r_regionkey", "SELECT nation.*, region.* FROM nation, region WHERE n_regionkey = r_regionkey")
+add("select_star_and_more", "SELECT *, n_nationkey * 2 AS twice FROM nation", "SELECT *, n_nationkey * 2 AS twice FROM nation")
+add("select_const", 'SELECT 1 AS a, 0x1F AS b, 017 AS c, 2.5 AS d, "x\\ty" AS e, TRUE AS f, d\'2020-02-29\' AS g, 3000000000 AS h', "SELECT 1 AS a, 31 AS b, 15 AS c, 2.5::DOUBLE AS d, 'x' || chr(9) || 'y' AS e, TRUE AS f, DATE '2020-02-29' AS g, 3000000000 AS h")
+add("default_names", "SELECT 1, r_name, 2 FROM region", 'SELECT 1 AS "$const0", r_name, 2 AS "$const1" FROM region')
+add("project_expr", "SELECT o_orderkey, o_totalprice * 2 + 1 AS a, -o_custkey AS b, (o_orderkey + o_custkey) * 3 AS c FROM orders", "SELECT o_orderkey, o_totalprice * 2 + 1 AS a, -o_custkey AS b, (o_orderkey + o_custkey) * 3 AS c FROM orders")
+add("int_div_mod", "SELECT o_orderkey, o_orderkey / 7 AS q, o_orderkey % 7 AS r, (0 - o_orderkey) / 7 AS nq, (0 - o_orderkey) % 7 AS nr FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r, -(o_orderkey // 7) AS nq, -(o_orderkey % 7) AS nr FROM orders")
+add("bitwise_not", "SELECT p_partkey, ~p_size AS inv FROM part", "SELECT p_partkey, ~p_size AS inv FROM part")
+add("concat", 'SELECT n_nationkey, n_name .. "/" .. r_name AS full_name FROM nation, region WHERE n_regionkey = r_regionkey', "SELECT n_nationkey, n_name || '/' || r_name AS full_name FROM nation, region WHERE n_regionkey = r_regionkey")
+add("isnull", "SELECT o_orderkey, ISNULL(o_orderstatus) AS a, ISNULL(NULL) AS b FROM orders", "SELECT o_orderkey, o_orderstatus IS NULL AS a, TRUE AS b FROM orders")
+add("cast_int", "SELECT l_orderkey, l_linenumber, INT(l_quantity) AS q, INT(l_discount > 0.05) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(TRUNC(l_quantity) AS INTEGER) AS q, CAST(l_discount > 0.05 AS INTEGER) AS d FROM lineitem")
+add("three_valued_logic", "SELECT n_nationkey, (NULL AND n_nationkey > 12) AS a, (NULL OR n_nationkey > 12) AS o, NOT (NULL = n_nationkey) AS n FROM nation", "SELECT n_nationkey, CASE WHEN n_nationkey > 12 THEN NULL ELSE FALSE END AS a, CASE WHEN n_nationkey > 12 THEN TRUE END AS o, CAST(NULL AS BOOLEAN) AS n FROM nation")
+
+# ---------------------------------------------------------------- filters
+
+add("filter_cnf", 'SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 100000 OR o_orderstatus = "F") AND (o_custkey > 500 OR o_orderkey % 2 = 0)', "SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 100000 OR o_orderstatus = 'F') AND (o_custkey > 500 OR o_orderkey % 2 = 0)")
+add("filter_disjunction", 'SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = "5-LOW" OR o_custkey = 7', "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = '5-LOW' OR o_custkey = 7")
+add("filter_true", "SELECT r_name FROM region WHERE TRUE", "SELECT r_name FROM region WHERE TRUE")
+add("filter_false", "SELECT r_name FROM region WHERE FALSE", "SELECT r_name FROM region WHERE FALSE")
+add("filter_null_drops", "SELECT n_name FROM nation WHERE NULL OR n_nationkey < 5", "SELECT n_name FROM nation WHERE n_nationkey < 5")
+add("filter_float", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.07 AND l_tax != 0.02", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.07::DOUBLE AND l_tax != 0.02::DOUBLE")
+add("filter_date", "SELECT o_orderkey FROM orders WHERE o_orderdate >= d'1997-01-01 00:00:00' AND o_orderdate < d'1997-02-01 00:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-02-01'")
+add("filter_strcmp", 'SELECT p_partkey FROM part WHERE p_name < p_type AND p_brand >= "Brand#3"', "SELECT p_partkey FROM part WHERE p_name < p_type AND p_brand >= 'Brand#3'")
+add("filter_boolean_equality", "SELECT o_orderkey FROM orders WHERE (o_custkey > 500) = (o_totalprice > 200000)", "SELECT o_orderkey FROM orders WHERE (o_custkey > 500) = (o_totalprice > 200000)")
+for _name, _pattern in (("prefix", "PROMO%"), ("suffix", "%STEEL"), ("contains", "%AN%"), ("wildcard", "_R%_L"), ("complex", "%O_O%S%"), ("constant", "STANDARD"), ("escaped", "%\\%%")):
+    add(f"like_{_name}", f'SELECT p_partkey, p_type FROM part WHERE p_type LIKE "{_pattern.replace(chr(92), chr(92) * 2)}"', f"SELECT p_partkey, p_type FROM part WHERE p_type LIKE '{_pattern}' ESCAPE '\\'")
+add("like_expr", 'SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey AND n_name .. r_name LIKE "%_1%" .. r_name', "SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey AND (n_name || r_name) LIKE ('%_1%' || r_name)")
+add("like_not", 'SELECT p_partkey FROM part WHERE NOT (p_type LIKE "%S%")', "SELECT p_partkey FROM part WHERE p_type NOT LIKE '%S%'")
+add("index_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+add("index_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 420", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 420")
+
+# ---------------------------------------------------------------- joins
+
+_JOIN = "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey"
+for _name, _hint in (("hash", "SHUFFLE_HASH"), ("merge", "MERGE"), ("broadcast", "BROADCAST")):
+    add(f"join_{_name}", _JOIN, _JOIN, join_hint=_hint)
+add("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a, nation AS b WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey != b.n_regionkey", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a, nation AS b WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey != b.n_regionkey", join_hint="BROADCAST")
+add("join_cross", "SELECT n_name, r_name FROM nation, region", "SELECT n_name, r_name FROM nation, region")
+add("join_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+_CHAIN = "SELECT r_name, COUNT(*) AS n FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey GROUP BY r_name"
+add("join_chain", _CHAIN, _CHAIN)
+add("join_with_filter", 'SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND c_acctbal > 5000 AND o_orderstatus = "O"', "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND c_acctbal > 5000 AND o_orderstatus = 'O'")
+add("join_duplicates", "SELECT c_custkey, s_suppkey FROM customer, supplier WHERE c_nationkey = s_nationkey", "SELECT c_custkey, s_suppkey FROM customer, supplier WHERE c_nationkey = s_nationkey")
+add("join_two_keys", "SELECT a.l_orderkey AS o, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber", "SELECT a.l_orderkey AS o, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber")
+add("join_comparable_types", "SELECT l_orderkey, l_linenumber, n_name FROM lineitem, nation WHERE l_quantity = n_nationkey", "SELECT l_orderkey, l_linenumber, n_name FROM lineitem, nation WHERE l_quantity = n_nationkey")
+add("join_strings", "SELECT a.o_orderkey AS x, b.r_regionkey AS y FROM orders a, region b WHERE a.o_orderstatus .. \"\" = b.r_name .. \"\" OR a.o_orderkey = b.r_regionkey", "SELECT a.o_orderkey AS x, b.r_regionkey AS y FROM orders a, region b WHERE a.o_orderstatus = b.r_name OR a.o_orderkey = b.r_regionkey")
+add("join_with_order_by", "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey LIMIT 50", "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey ORDER BY c_name DESC, o_orderkey LIMIT 50")
+_GROUP_JOIN = "SELECT o_orderkey, COUNT(*) AS n, SUM(l_quantity) AS q FROM orders, lineitem WHERE o_orderkey = l_orderkey GROUP BY o_orderkey"
+add("group_join", _GROUP_JOIN, _GROUP_JOIN.replace("SUM(l_quantity)", "ROUND(SUM(l_quantity), 2)"), True, join_hint="MERGE")
+_ORDERED = "SELECT r_name, COUNT(*) AS n FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY r_name"
+for _name in ("PEall", "DPsize", "DPsizeOpt", "DPsizeSub", "DPsub", "DPsubOpt", "DPccp", "IKKBZ", "LinearizedDP", "TDbasic", "TDMinCutAGaT", "GOO", "TDGOO", "HeuristicSearch"):
+    add(f"join_order_{_name.lower()}", _ORDERED, _ORDERED, enumerator=_name)
+add("join_order_injected", _CHAIN, _CHAIN, enumerator="DPccp", estimator=Injected({"main": [{"relations": ["region"], "size": 5}, {"relations": ["nation"], "size": 25}, {"relations": ["customer"], "size": 1500}, {"relations": ["orders"], "size": 15000}, {"relations": ["region", "nation"], "size": 25}, {"relations": ["nation", "customer"], "size": 1500}, {"relations": ["customer", "orders"], "size": 15000}, {"relations": ["region", "nation", "customer"], "size": 1500}, {"relations": ["nation", "customer", "orders"], "size": 15000}, {"relations": ["region", "nation", "customer", "orders"], "size": 15000}]}, "main"))
+
+
+@query(_ORDERED)
+def join_order_statistics(spark, sf_dir):
+    """Join order from learned column statistics."""
+    e = engine(spark, sf_dir, enumerator="DPccp")
+    e.execute("\\learn_spns;")
+    return e.sql(_ORDERED)
+
+
+# ---------------------------------------------------------------- subqueries
+
+add("subquery_from", "SELECT q.k AS k, q.n + 1 AS m FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS q WHERE q.n > 10", "SELECT k, n + 1 AS m FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS q WHERE n > 10")
+add("subquery_from_star", "SELECT * FROM (SELECT * FROM nation WHERE n_nationkey > 20) AS q, region WHERE q.n_regionkey = r_regionkey", "SELECT * FROM (SELECT * FROM nation WHERE n_nationkey > 20) AS q, region WHERE q.n_regionkey = r_regionkey")
+add("subquery_where_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o.o_totalprice) FROM orders AS o)", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
+add("subquery_where_const", "SELECT r_name FROM region WHERE r_regionkey = (SELECT 1 + 1)", "SELECT r_name FROM region WHERE r_regionkey = 2")
+add("subquery_having_scalar", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > (SELECT COUNT(*) FROM customer) / 100", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > (SELECT COUNT(*) FROM customer) // 100")
+add("subquery_select_scalar", "SELECT n_name, (SELECT COUNT(*) FROM region) AS regions FROM nation", "SELECT n_name, (SELECT COUNT(*) FROM region) AS regions FROM nation")
+add("subquery_correlated_max", "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders AS i WHERE i.o_custkey = orders.o_custkey)", "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders AS i WHERE i.o_custkey = orders.o_custkey)")
+add("subquery_correlated_count", "SELECT c_custkey FROM customer WHERE (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) = 2", "SELECT c_custkey FROM customer WHERE (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) = 2")
+
+# ---------------------------------------------------------------- grouping and aggregation
+
+add("group_by_single", "SELECT o_orderstatus, COUNT(*) AS n, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, SUM(o_custkey) AS s FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, COUNT(*) AS n, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, CAST(SUM(o_custkey) AS BIGINT) AS s FROM orders GROUP BY o_orderstatus", True)
+add("group_by_compound", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority")
+add("group_by_expr_alias", "SELECT bucket, COUNT(*) AS n FROM orders GROUP BY o_custkey % 10 AS bucket ORDER BY bucket", "SELECT o_custkey % 10 AS bucket, COUNT(*) AS n FROM orders GROUP BY o_custkey % 10 ORDER BY 1")
+add("group_by_expr_repeated", "SELECT o_custkey % 10 + 1 AS b FROM orders GROUP BY o_custkey % 10", "SELECT DISTINCT o_custkey % 10 + 1 AS b FROM orders")
+add("group_by_no_agg", "SELECT o_orderpriority FROM orders GROUP BY o_orderpriority", "SELECT DISTINCT o_orderpriority FROM orders")
+add("group_by_const_item", "SELECT 1 AS one FROM orders GROUP BY o_orderstatus", "SELECT 1 AS one FROM orders GROUP BY o_orderstatus")
+add("group_by_star", "SELECT * FROM orders GROUP BY o_orderstatus, o_orderpriority", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+add("group_by_primary_key", "SELECT o_orderkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_orderkey", "SELECT o_orderkey, ROUND(SUM(o_totalprice), 2) AS s FROM orders GROUP BY o_orderkey", True)
+add("agg_global", "SELECT COUNT(*) AS n, SUM(l_quantity) AS s, AVG(l_tax) AS a, MIN(l_linenumber) AS lo, MAX(l_extendedprice) AS hi FROM lineitem", "SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS s, ROUND(AVG(l_tax), 2) AS a, MIN(l_linenumber) AS lo, ROUND(MAX(l_extendedprice), 2) AS hi FROM lineitem", True)
+add("agg_empty_input", "SELECT COUNT(*) AS n, SUM(r_regionkey) AS s, AVG(r_regionkey) AS a, MIN(r_regionkey) AS lo FROM region WHERE FALSE", "SELECT COUNT(*) AS n, CAST(SUM(r_regionkey) AS BIGINT) AS s, AVG(r_regionkey) AS a, MIN(r_regionkey) AS lo FROM region WHERE FALSE")
+add("agg_expression", "SELECT SUM(l_extendedprice * (1 - l_discount)) / COUNT(*) AS mean FROM lineitem", "SELECT ROUND(SUM(l_extendedprice * (1 - l_discount)) / COUNT(*), 2) AS mean FROM lineitem", True)
+add("agg_avg_is_double", "SELECT o_orderstatus, AVG(o_custkey) AS a FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, ROUND(AVG(o_custkey), 2) AS a FROM orders GROUP BY o_orderstatus", True)
+add("having_grouped", "SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND o_custkey % 2 = 0", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND o_custkey % 2 = 0", True)
+add("having_ungrouped", "SELECT COUNT(*) AS n FROM orders HAVING MAX(o_totalprice) > 1", "SELECT COUNT(*) AS n FROM orders HAVING MAX(o_totalprice) > 1")
+add("having_const_select", "SELECT 42 AS x FROM orders HAVING COUNT(*) > 1", "SELECT 42 AS x FROM orders HAVING COUNT(*) > 1")
+
+# ---------------------------------------------------------------- sorting and limits
+
+add("order_asc", "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey", "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey")
+add("order_desc", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey")
+add("order_expr", "SELECT o_orderkey FROM orders ORDER BY o_custkey % 7 + o_orderkey % 3 DESC, o_orderkey LIMIT 40", "SELECT o_orderkey FROM orders ORDER BY o_custkey % 7 + o_orderkey % 3 DESC, o_orderkey LIMIT 40")
+add("order_non_result", "SELECT c_name FROM customer ORDER BY c_nationkey, c_custkey LIMIT 30", "SELECT c_name FROM customer ORDER BY c_nationkey, c_custkey LIMIT 30")
+add("order_aggregate", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, o_custkey LIMIT 20", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, o_custkey LIMIT 20")
+add("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+add("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
+add("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", "SELECT o_orderkey FROM orders LIMIT 0")
+
+
+@query("SELECT k, v FROM (SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END AS k, n_nationkey AS v FROM nation) ORDER BY k DESC NULLS FIRST, v LIMIT 8")
+def order_nulls_first(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.register("n", spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v")))
+    return e.sql("SELECT k, v FROM n ORDER BY k DESC, v LIMIT 8")
+
+
+_NULLED = "(SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 10 END AS k, o_totalprice AS v FROM orders)"
+
+
+def _nulled(spark, sf_dir) -> Engine:
+    e = engine(spark, sf_dir)
+    e.register("n", spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 10).alias("k"), F.col("o_totalprice").alias("v")))
+    return e
+
+
+@query(f"SELECT COUNT(*) AS a, COUNT(k) AS b, ROUND(AVG(k), 2) AS c, CAST(SUM(k) AS BIGINT) AS d FROM {_NULLED}")
+def count_star_vs_col(spark, sf_dir):
+    return rounded(_nulled(spark, sf_dir).sql("SELECT COUNT(*) AS a, COUNT(k) AS b, AVG(k) AS c, SUM(k) AS d FROM n"))
+
+
+@query(f"SELECT k, COUNT(*) AS n FROM {_NULLED} GROUP BY k")
+def group_by_null_key(spark, sf_dir):
+    return _nulled(spark, sf_dir).sql("SELECT k, COUNT(*) AS n FROM n GROUP BY k")
+
+
+@query(f"SELECT k, n_name FROM {_NULLED}, nation WHERE k = n_nationkey")
+def join_null_keys(spark, sf_dir):
+    return _nulled(spark, sf_dir).sql("SELECT k, n_name FROM n, nation WHERE k = n_nationkey")
+
+
+# ---------------------------------------------------------------- tables, files, versions, sinks, operators
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for files of a query: shared on a cluster, temporary in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return os.path.join(root, os.urandom(6).hex()) if root else tempfile.mkdtemp(prefix="sparrowmill-")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS d FROM orders")
+def dsv_roundtrip(spark, sf_dir):
+    """Write a table as delimited text and read it back."""
+    path = _folder(spark)
+    dsv.write(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("d")), path)
+    return dsv.read(spark, path, [("o_orderkey", INT8), ("o_custkey", INT8), ("o_orderstatus", Type("char", 10)), ("d", DATE)], has_header=True)
+
+
+@query("SELECT n_nationkey AS k, SUBSTRING(n_name, 1, 6) AS name FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 100, 'abcdef' UNION ALL SELECT 101, NULL")
+def ddl_insert(spark, sf_dir):
+    """A table is created, appended to and queried; strings are cut to their length."""
+    e = engine(spark, sf_dir)
+    e.execute("CREATE TABLE t (k INT(4) PRIMARY KEY, name CHAR(6));")
+    e.append("t", e.sql("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 3"))
+    e.execute('INSERT INTO t VALUES (100, "abcdefgh"), (101, NULL);')
+    return e.sql("SELECT k, name FROM t")
+
+
+@query("SELECT * FROM (VALUES (1, 'old')) AS t(k, v)")
+def mvcc_snapshot(spark, sf_dir):
+    """What a table with row versions held at an earlier timestamp."""
+    e = Engine(spark, multi_versioning=True)
+    e.execute('CREATE DATABASE d; USE d; CREATE TABLE t (k INT(4), v CHAR(3)); INSERT INTO t VALUES (1, "old");')
+    then = e._clock
+    e.execute('INSERT INTO t VALUES (2, "new");')
+    return e.sql("SELECT * FROM t", snapshot=then)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 10 AND o_custkey < 20")
+def index_sorted_copy(spark, sf_dir):
+    """A range condition answered from a copy that is sorted by its attribute."""
+    e = engine(spark, sf_dir)
+    e.execute("CREATE INDEX ix ON orders USING array (o_custkey);")
+    e.build_index("ix", _folder(spark))
+    return e.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 10 AND o_custkey < 20")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) || ',\"' || r_name || '\"' AS row FROM region")
+def sink_print(spark, sf_dir):
+    return sinks.printed(engine(spark, sf_dir).sql("SELECT r_regionkey, r_name FROM region"))
+
+
+@query("SELECT o_orderkey, COUNT(*) AS n FROM orders, lineitem WHERE o_orderkey = l_orderkey AND o_orderkey >= 50 GROUP BY o_orderkey")
+def operators_api(spark, sf_dir):
+    """The same algebra through DataFrame functions."""
+    orders = ops.range_scan(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", low=50)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return ops.group_join(orders, lines, orders.o_orderkey == lines.l_orderkey, [orders.o_orderkey], [F.count(F.lit(1)).alias("n")])
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS k, r_name AS v FROM region")
+def pre_post_hooks(spark, sf_dir):
+    """Hooks before and after planning."""
+    from dataclasses import replace
+
+    e = engine(spark, sf_dir)
+    e.pre.append(lambda s: replace(s, limit=None))
+    e.post.append(lambda df: df.withColumnsRenamed({"r_regionkey": "k", "r_name": "v"}))
+    return e.sql("SELECT r_regionkey, r_name FROM region LIMIT 1")
+
+
