@@ -165,22 +165,29 @@ def ended(texts: pa.Array, end: str) -> pa.Array:
     return pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(end, pa.large_string()))
 
 
-def pieces(texts: pa.Array, limit: int = PIECE_BYTES):
-    """Yield (first row, number of rows, Words) so that a piece has about ``limit`` bytes, or one longer document."""
-    texts = as_strings(texts)
-    if len(texts) == 0:
-        return
-    joined = ended(texts, "\n")
-    offs = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    raw = np.frombuffer(joined.buffers()[2], np.uint8)
+def ranges_of(texts: pa.Array, limit: int):
+    """Yield (first row, number of rows) of consecutive rows with about ``limit`` bytes together, or one longer row."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    ends = np.cumsum(size + 1)
     at = 0
-    while at < len(joined):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-        to = min(to, len(joined))
-        yield at, to - at, Words(raw[offs[at] : offs[to]], (offs[at : to + 1] - offs[at]).astype(np.int64))
+    while at < len(size):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, to - at
         at = to
 
 
+def pieces(texts: pa.Array, limit: int = PIECE_BYTES):
+    """Yield (first row, number of rows, Words) so that a piece has about ``limit`` bytes, or one longer document."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for at, rows in ranges_of(texts, limit):
+        joined = ended(as_strings(texts.slice(at, rows)), "\n")  # text + \n
+        offs = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + rows + 1]
+        raw = np.frombuffer(joined.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        yield at, rows, Words(raw, (offs - offs[0]).astype(np.int64))
+
+
 def pack_u64(a: np.ndarray, width: int = 8) -> bytes:
     """Little-endian integers of ``width`` bytes each."""
     return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

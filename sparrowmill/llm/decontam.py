@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import as_strings, ended
+from sparrowmill.llm.common import as_strings, ended, ranges_of
 
 Q = 8
 #: Edits allowed: one for each so many bytes of an item.
@@ -203,18 +203,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 def _scan(index: Index, texts: pa.Array) -> list[dict]:
     """{item id: edits} for each text of a batch."""
-    texts = as_strings(texts)
     out: list[dict] = [{} for _ in range(len(texts))]
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False) if len(texts) else []
-    at = 0
-    while at < len(texts):
-        to, held = at, 0
-        while to < len(texts) and (to == at or held + size[to] <= _PIECE):
-            held += size[to]
-            to += 1
-        for t, i, edits, _ in index.search(*normalise(texts.slice(at, to - at))):
+    for at, rows in ranges_of(texts, _PIECE):
+        for t, i, edits, _ in index.search(*normalise(texts.slice(at, rows))):
             out[at + t][index.ids[i]] = min(edits, out[at + t].get(index.ids[i], edits))
-        at = to
     return out
 
 

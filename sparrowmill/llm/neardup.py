@@ -7,8 +7,12 @@ each of its ``CHUNK`` variants with one symbol left out, and all pairs under tha
 
 Documents with equal shingle sets are one class, found by a 128-bit digest of the set; only class representatives are joined.  Within a
 key, members are paired with one centre, not with each other, so a group of n near copies gives n pairs a key.  Confirmed links are
-contracted to components, and only members of one key that are still in different components are paired further: again with a
-centre of the remaining ones, for some rounds, and last all that remain, so no link is lost.
+contracted to components, and only members of one key that are still in different components are paired further: with another
+centre, and last all that remain, so no link is lost.
+
+What keeps the rest small is an exact bound.  A shingle that no other candidate has can be in no intersection; with ``u`` of them in a
+set of ``n``, the intersection with any other has at most ``n - u``, which bounds the size of a possible partner.  A copy with so many
+edits of its own that it is under the similarity is left out by this before it is paired with a whole group.
 
 Words are runs of characters other than ASCII white space, with A-Z lower-cased.  A document's set has its distinct runs of
 ``n`` words; with fewer words, its whole sequence; a null or empty text has an empty set and is linked with nothing.  Rows with
@@ -27,8 +31,9 @@ from sparrowmill.llm.components import connected_components
 
 CHUNKS, CHUNK = 7, 4
 SYMBOLS = CHUNKS * CHUNK
-DISTANCE = 2 * CHUNKS - 1
-STAR_ROUNDS = 3
+#: Signatures that differ in more symbols aren't looked at further (at a similarity of 0.8, one pair in 200,000); keys alone guarantee ``2 * CHUNKS - 1``.
+FAR = 16
+STAR_ROUNDS = 2
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
@@ -84,28 +89,91 @@ def _differ(a: str, b: str):
     return sum((F.substring(a, 2 * j + 1, 2) != F.substring(b, 2 * j + 1, 2)).cast("int") for j in range(SYMBOLS))
 
 
-def _stars(members: DataFrame, largest: bool, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) of each key's members in other groups than its centre, with the centre; ``members``: key, id, grp."""
+def own_shingles(texts: DataFrame, n: int, ranges: int) -> DataFrame:
+    """(id, own): shingles that no other row of ``texts`` (id, text) has, as packed arrays by ranges of hashes."""
+    packed = "part int, ids binary, who binary, hashes binary"
+
+    def spread(batches):
+        for b in batches:
+            sets = list(shingle_sets(b.column(1), n))
+            ids = np.array(b.column(0).to_pylist(), "<i8")
+            for at in range(0, len(sets), 256):
+                some = sets[at : at + 256]
+                h = np.concatenate(some) if some else np.zeros(0, U)
+                who = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                part = ((h >> U(40)) * U(ranges)) >> U(24)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(ranges + 1).astype(U))
+                rows = []
+                for p in range(ranges):
+                    o = order[cut[p] : cut[p + 1]]
+                    if len(o):
+                        docs, w = np.unique(who[o], return_inverse=True)
+                        rows.append((p, ids[at + docs].tobytes(), w.astype("<u2").tobytes(), h[o].tobytes()))
+                if rows:
+                    cols = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "ids", "who", "hashes"])
+
+    def alone(t: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in t.column("hashes")])
+        who = np.concatenate([np.frombuffer(i.as_py(), "<i8")[np.frombuffer(w.as_py(), "<u2")] for i, w in zip(t.column("ids"), t.column("who"))])
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        same = s[1:] == s[:-1]
+        single = ~(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+        ids, count = np.unique(who[order[single]], return_counts=True)
+        return pa.table([pa.array(ids), pa.array(count)], names=["id", "own"])
+
+    return texts.mapInArrow(spread, packed).groupBy("part").applyInArrow(alone, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
+
+
+def _may_link(percent: int, n_a="na", own_a="ua", n_b="nb", own_b="ub"):
+    """Whether sizes and own shingles leave two sets a chance: the intersection is at most min(n - own)."""
+    most = F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b))
+    return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
+
+
+def _alive(grp: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Members (key, id, grp, n, own) of keys with several groups, without those whose possible partners' sizes no member of the key has."""
+    per = grp.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).filter("lo < hi").select("key", "small", "large")
+    per = scratch.cut(per, f"{name}-per-key")
+    # partners have at least percent % of n, and at most what the intersection of n - own allows
+    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n"))
+    kept = scratch.cut(grp.join(per, "key").filter(fits).select("key", "id", "grp", "n", "own"), f"{name}-fit")
+    several = scratch.cut(kept.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key"), f"{name}-several")
+    out = scratch.cut(kept.join(several, "key"), f"{name}-alive")
+    scratch.drop(f"{name}-per-key", f"{name}-fit", f"{name}-several")
+    return out
+
+
+def _stars(members: DataFrame, percent: int, largest: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) of each key's members in other groups than its centre, with the centre."""
     pick = F.max if largest else F.min
-    centre = members.groupBy("key").agg(pick(F.struct("id", "grp")).alias("c"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi")
-    centre = scratch.cut(centre.select("key", F.col("c.id").alias("cid"), F.col("c.grp").alias("cgrp")), name)
-    return members.join(centre, "key").filter("grp != cgrp").select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+    centre = members.groupBy("key").agg(pick(F.struct("id", "grp", "n", "own")).alias("c"))
+    centre = scratch.cut(centre.select("key", F.col("c.id").alias("cid"), F.col("c.grp").alias("cgrp"), F.col("c.n").alias("nb"), F.col("c.own").alias("ub")), name)
+    pairs = members.join(centre, "key").filter((F.col("grp") != F.col("cgrp")) & _may_link(percent, "n", "own"))
+    return pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of each key's members in different groups that may link."""
+    left = members.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("own").alias("ua"))
+    right = members.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("own").alias("ub"))
+    return left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(percent)).select("a", "b").distinct()
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str, checked: list) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.  Signatures and sizes are compared first, then sets from the texts.
+def confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch, name: str, checked: list) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity.  Signatures are compared first, then sets from the texts.
 
     Pairs in the tables of ``checked`` were compared before and are left out; those that are compared now are added to it.
 
     A text is sent once for each pair that it is in; pairs are stars, so most texts are in few."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_differ("sa", "sb") <= DISTANCE)).select("a", "b")
+    side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(_differ("sa", "sb") <= FAR).select("a", "b")
     for old in checked:
         close = close.join(old, ["a", "b"], "left_anti")
     close = scratch.cut(close, f"{name}-close")
     checked.append(close)
-    nodes = close.select(F.col("a").alias("id")).unionAll(close.select("b")).distinct()
-    texts = scratch.cut(docs.join(nodes, "id"), f"{name}-texts")
     both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
@@ -117,8 +185,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perce
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-texts")
-    release(docs.sparkSession)
+    release(texts.sparkSession)
     return out
 
 
@@ -128,39 +195,48 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s = Scratch(spark, "neardup")
     rows = s.cut(signatures(docs, id_col, text_col, n), "signatures")
     full = rows.filter("id is not null and n_shingles > 0")
-    # rows of one id are one node, whatever their texts
     own = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
     classes = s.cut(own.select("d1", "d2", F.col("n_shingles").alias("n"), "id", "sig"), "classes")
-    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = s.cut(keys(classes), "keys")
+    first = s.cut(keys(classes), "keys")
+    shared = s.cut(first.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "shared")
+    members = s.cut(first.join(shared, "key"), "members")
+    s.drop("keys", "shared")
+    ids = s.cut(members.select("id").distinct(), "candidates")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = s.cut(texts.join(ids, "id"), "texts")  # the one shuffle of whole texts
+    release(spark)
+    sizes = classes.join(ids, "id").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("sets"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    ranges = int(max(1, total // 2_500_000))
+    # an id with several texts has no bound
+    alone = own_shingles(texts, n, ranges).withColumnRenamed("id", "of")
+    sizes = s.cut(sizes.join(alone, F.col("id") == F.col("of"), "left").select("id", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("own")), "sizes")
+    sigs = s.cut(classes.join(ids, "id").select("id", "sig"), "sigs")
+    members = s.cut(members.join(sizes, "id"), "sized")
+    s.drop("members")
     grp = members.withColumn("grp", F.col("id"))
     confirmed = links if links is not None else []
     checked: list[DataFrame] = []
     label = None
     for r in range(STAR_ROUNDS + 1):
         if label is not None:
-            grp = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component", "id")).select("key", "id", "grp")
-            grp = s.cut(grp, f"groups-{r}")
-            live = s.cut(grp.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key"), f"keys-{r}")
-            if live.isEmpty():
-                break
-            grp = s.cut(grp.join(live, "key"), f"live-{r}")
-            members = grp.select("key", "id")
-            s.drop("keys", f"groups-{r}", f"live-{r - 1}")
-        if r < STAR_ROUNDS:
-            pairs = _stars(grp, r % 2 == 1, s, f"centres-{r}")
-        else:
-            other = grp.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"))
-            pairs = grp.withColumnRenamed("id", "a").join(other, "key").filter("grp != gb and a < b").select("a", "b").distinct()
-        new = confirm(pairs, classes, slim, n, percent, s, f"round{r}", checked)
-        confirmed.append(new)
-        edges = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        for old in confirmed[:-1]:
-            edges = edges.unionAll(old.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        label = connected_components(edges, s, f"cc{r}")
+            grp = s.cut(members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("grp"), "n", "own"), f"groups-{r}")
+        grp = _alive(grp, percent, s, f"round{r}")
+        s.drop("sized", f"groups-{r}", f"round{r - 1}-alive")
+        members = grp.select("key", "id", "n", "own")
+        if grp.isEmpty():
+            break
+        pairs = _stars(grp, percent, r % 2 == 1, s, f"centres-{r}") if r < STAR_ROUNDS else _rest(grp, percent)
+        confirmed.append(confirm(pairs, sigs, texts, n, percent, s, f"round{r}", checked))
+        edges = confirmed[0]
+        for more in confirmed[1:]:
+            edges = edges.unionAll(more)
+        label = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), s, f"cc{r}")
         release(spark)
-    comp = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    out = rows.join(comp, (rows.d1 == comp.d1) & (rows.d2 == comp.d2) & (rows.n_shingles == comp.n), "left")
+    comp = classes.select("d1", "d2", "n", "id", F.col("id").alias("component"))
+    if label is not None:
+        comp = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+    out = rows.join(comp.drop("id"), (rows.d1 == comp.d1) & (rows.d2 == comp.d2) & (rows.n_shingles == comp.n), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce(component, "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
