@@ -14,9 +14,14 @@ from sparrowmill.errors import SemanticError
 from sparrowmill.types import Type
 
 
+#: Stands for a quoted empty string between the reader and the conversion.
+_EMPTY = "\x01"
+
+
 def convert(cell: Column, ty: Type) -> Column:
     """A cell's text as a value of the type, else NULL."""
     if ty.string:
+        cell = F.when(cell == _EMPTY, "").otherwise(cell)
         return F.substring(cell, 1, ty.size) if ty.size else cell
     if ty.kind == "bool":
         return F.when(cell == "TRUE", True).when(cell == "FALSE", False)
@@ -44,7 +49,7 @@ def read(spark: SparkSession, path: str, columns: list[tuple[str, Type]], rows:
         if not set(cells) & set(names):
             raise SemanticError(f"no column of {path} is in the table")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    raw = spark.read.schema(schema).options(sep=delimiter, quote=quote, escape=escape, header=str(has_header or skip_header).lower(), enforceSchema="true", mode="DROPMALFORMED", columnPruning="false", emptyValue="", nullValue="", multiLine="false").csv(path)
+    raw = spark.read.schema(schema).options(sep=delimiter, quote=quote, escape=escape, header=str(has_header or skip_header).lower(), enforceSchema="true", mode="DROPMALFORMED", columnPruning="false", emptyValue=_EMPTY, nullValue="", multiLine="false").csv(path)
     if rows is not None:
         raw = raw.limit(rows)
     return raw.select(*(convert(F.col(f"`{n}`"), ty).alias(n) if n in cells else F.lit(None).cast(ty.sql).alias(n) for n, ty in columns))
