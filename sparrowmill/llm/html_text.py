@@ -38,6 +38,7 @@ MARKS = (
 )
 
 _NEVER, _VOID, _BLOCK, _MARKS = frozenset(NEVER), frozenset(VOID), frozenset(BLOCK), frozenset(MARKS)
+_COMMENTS = frozenset(("comment", "comments", "reply", "replies", "respond"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
@@ -53,12 +54,13 @@ def _marked(tag: str, attrs: str) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    if tag in ("html", "body", "article", "main", "h1"):
+    if tag in ("html", "body", "main", "h1"):
         return False
+    marks = _COMMENTS if tag == "article" else _MARKS
     for m in _ATTR.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        for part in _PART.findall(_CAMEL.sub(" ", value)):
-            if part.lower() in _MARKS:
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in _PART.findall(_CAMEL.sub(" ", name))]
+            if parts and parts[0] not in ("has", "no", "with", "without", "is") and not marks.isdisjoint(parts):
                 return True
     return False
 
@@ -224,7 +226,7 @@ def extract(page: str | None) -> str:
             score[-1] += _SKIP
         else:
             score[-1] += WEIGHTS.get(f"tag:{extra}:{what}") or WEIGHTS.get(f"tag:{extra}:other", -0.2)
-        if kind == "skip" or extra == "block":
+        if what in _BLOCK:
             if blocks[-1]:
                 blocks.append([])
                 score.append(0.0)

@@ -139,11 +139,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows that share an id (or have none) are told apart by an ordinal; that costs a sort of those rows' digests, and is done only if there are such rows."""
     s = Scratch(docs.sparkSession, "mixed")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
-    keyed = docs.withColumn("_key", key)
-    if not keyed.groupBy("_key").count().filter("count > 1").isEmpty():
-        w = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-        keyed = keyed.withColumn("_key", F.concat_ws("\x00", "_key", F.row_number().over(w).cast("string")))
-        keyed = s.cut(keyed, "keyed")
-    got = mix(keyed.select(F.col("_key").alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), s)
-    got = got.filter("copies > 0").select(F.col("key").alias("_key"), "copies")
-    return keyed.join(got, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    keyed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    if not keyed.groupBy("key").count().filter("count > 1").isEmpty():
+        w = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+        keyed = s.cut(keyed.withColumn("key", F.concat_ws("\x00", "key", F.row_number().over(w).cast("string"))), "keyed")
+    got = mix(keyed.select("key", F.col(f"row.{source_col}").cast("string").alias("source"), word_count(F.col(f"row.{text_col}")).alias("size")), s)
+    got = got.filter("copies > 0").select("key", "copies")
+    return keyed.join(got, "key").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -58,20 +58,21 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n_shingles, d1, d2, sig) of every row; the digest of a set is the sum of its hashes under two mixings."""
+    """(id, text_hash, n_shingles, d1, d2, sig) of every row; the digest of a set is the sum of its hashes under two mixings."""
 
     def run(batches):
         for b in batches:
             out = []
-            for s in shingle_sets(b.column(1), n):
+            for s in shingle_sets(b.column(2), n):
                 if len(s):
                     out.append((len(s), int(mix(s ^ U(0x5851F42D4C957F2D)).sum().view(np.int64)), int(mix(s ^ U(0x14057B7EF767814F)).sum().view(np.int64)), signature(s)))
                 else:
                     out.append((0, 0, 0, None))
             cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["id", "text_hash", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), text_col)
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -191,6 +192,22 @@ def confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, n: int, percent
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, links: list | None = None) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept.  ``links`` receives the tables of confirmed pairs, if given."""
+    return labelled(docs, id_col, text_col, n, percent, links).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that stay, unchanged: of each group of near-duplicates that with the smallest id; of repeated rows, one.  Rows without an id stay."""
+    s = Scratch(docs.sparkSession, "representatives")
+    found = s.cut(labelled(docs, id_col, text_col, n, percent).select("id", "text_hash", "kept"), "labelled")
+    gone = found.filter("not kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    out = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")
+    if not found.filter("kept and id is not null").groupBy("id", "text_hash").count().filter("count > 1").isEmpty():
+        out = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.filter(F.col(id_col).isNull()))
+    return out
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, links: list | None = None) -> DataFrame:
+    """Per row: id, text_hash, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     s = Scratch(spark, "neardup")
     rows = s.cut(signatures(docs, id_col, text_col, n), "signatures")
@@ -239,4 +256,4 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(comp.drop("id"), (rows.d1 == comp.d1) & (rows.d2 == comp.d2) & (rows.n_shingles == comp.n), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce(component, "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
