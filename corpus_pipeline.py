@@ -18,12 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest id.
-
-    Rows with equal ids are told apart by their text; of fully repeated rows one stays."""
-    found = neardup.components(docs, n=5, percent=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest id."""
+    return neardup.representatives(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
