@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    sys.path.insert(0, str(ROOT / "tests" / "llm"))
     os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests" / "llm"), os.environ.get("PYTHONPATH", "")])
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
