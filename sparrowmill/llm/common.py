@@ -7,8 +7,10 @@ works on the bytes and never decodes.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -60,11 +62,13 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced, so that they don't pile up between stages."""
-    import gc
+    """Let Spark delete the shuffle files of plans that are no longer referenced, so that they don't pile up between stages.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The driver's Python lets go of its plans first; the JVM's collector then finds them in one or two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

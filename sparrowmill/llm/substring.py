@@ -277,14 +277,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = rows.withColumn("sb", F.pmod(F.xxhash64("ord"), F.lit(batches)).cast("long"))
     parts = max(shuffle_partitions(spark), min(batches, spark.sparkContext.defaultParallelism))
     name = f"sparrowmill_{uuid.uuid4().hex}"
-    rows.repartition(parts, "sb").sortWithinPartitions("sb").write.bucketBy(parts, "sb").sortBy("sb").option("path", s.path("texts")).saveAsTable(name)
+    rows.repartition(parts, "sb").sortWithinPartitions("sb").write.bucketBy(parts, "sb").sortBy("sb").option("compression", "zstd").option("path", s.path("texts")).saveAsTable(name)
     release(spark)
     table = spark.table(name)
     found = s.cut(anchors(probes(table, ranges)), "anchors")
     release(spark)
     late = s.cut(later_windows(candidate_windows(table, found, ranges)), "late")
+    s.drop("anchors")
     release(spark)
     out = s.cut(verdicts(table, late), "result")
     spark.sql(f"DROP TABLE {name}")
-    s.drop("texts", "anchors", "late")
+    s.drop("texts", "late")
     return out.withColumnRenamed("doc_id", id_col)
