@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.common import Scratch, word_count
 
-GROUP = 20_000
+GROUP = 2_000
 FAN = 64
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5  # of all sizes

@@ -176,7 +176,7 @@ def expected_targets(size):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 8])
+@pytest.mark.parametrize("group", [2_000, 8])
 @pytest.mark.parametrize("table", ["docs", "edges"])
 def test_mixing(request, monkeypatch, table, group):
     monkeypatch.setattr(mixing, "GROUP", group)
