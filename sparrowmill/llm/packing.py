@@ -12,6 +12,8 @@ token.  Rows with equal ids are documents of their own.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,24 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The tokenizer's pattern backtracks over white space; longer runs are encoded in parts, which decode to the same text.
+SPACE_RUN = 10_000
+_SPACES = re.compile(rf"\s{{{SPACE_RUN}}}")
+
+
+def encode(enc, text: str | None) -> list[int]:
+    """Token ids of a text; they decode to it exactly."""
+    if not text:
+        return []
+    if len(text) < SPACE_RUN or not _SPACES.search(text):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in _SPACES.finditer(text):
+        out += enc.encode_ordinary(text[at : m.start()]) + enc.encode_ordinary(m[0])
+        at = m.end()
+    return out + enc.encode_ordinary(text[at:])
+
+
 def end_id(enc) -> int:
     """The first id after the vocabulary's."""
     return enc.n_vocab
@@ -102,8 +122,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
         for b in batches:
             held, size, at = [], 0, 0
             for i, t in enumerate(b.column(1)):
-                t = t.as_py()
-                ids = enc.encode_ordinary(t) if t else []
+                ids = encode(enc, t.as_py())
                 ids.append(end)
                 held.append(np.array(ids, kind).tobytes())
                 size += len(held[-1])

@@ -97,6 +97,12 @@ def test_best_fit(lengths):
     assert len(rows) == len(left)
 
 
+def test_long_runs_are_encoded():
+    enc = packing.encoder()
+    for text in (" " * 1_000_000, "a" * 300_000, "x" + "\n" * 25_000 + "y", "", "é" * 100_000, "# " * 50_000):
+        assert enc.decode(packing.encode(enc, text)) == text
+
+
 def test_positions_restart():
     assert packing.positions([0, 3, 5]).tolist() == [0, 1, 2, 0, 1]
 
