@@ -3,7 +3,7 @@
 Signatures have ``SYMBOLS`` symbols of 16 bits.  They are split into chunks of ``CHUNK`` symbols.  If two signatures differ in at most
 ``CHUNKS * 2 - 1`` symbols, then by the pigeonhole principle some chunk has at most one error; every chunk is therefore indexed under
 each of its ``CHUNK`` variants with one symbol left out, and all pairs under that distance share a key.  At a similarity of exactly
-0.85 a pair is missed with a probability of about 2e-8 (every chunk has two errors or more), and the more similar, the less.
+0.85 a pair is missed with a probability of about 2e-7 (every chunk has two errors or more; 6e-6 at 0.8), and the more similar, the less.
 
 Documents with equal shingle sets are one class, found by a 128-bit digest of the set; only class representatives are joined.  Within a
 key, members are paired with one centre, not with each other, so a group of n near copies gives n pairs a key.  Confirmed links are
@@ -31,7 +31,7 @@ from sparrowmill.llm.components import connected_components
 
 CHUNKS, CHUNK = 7, 4
 SYMBOLS = CHUNKS * CHUNK
-#: Signatures that differ in more symbols aren't looked at further (at a similarity of 0.8, one pair in 200,000); keys alone guarantee ``2 * CHUNKS - 1``.
+#: Signatures that differ in more symbols aren't looked at further (at a similarity of 0.85, one linked pair in 20 million has that many; at 0.8, one in 300,000); keys alone guarantee ``2 * CHUNKS - 1``.
 FAR = 16
 STAR_ROUNDS = 2
 
