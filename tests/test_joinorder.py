@@ -75,6 +75,9 @@ def test_search_variants():
     g = graph("cycle", 6, 7)
     best = jo.heuristic_search(g, 63).best[63][0]
     assert jo.heuristic_search(g, 63, "sum").best[63][0] == pytest.approx(best)
+    for vertex, heuristic in [("TopDown", "zero"), ("BottomUp", "scaled_sum"), ("BottomUp", "avg_sel"), ("BottomUp", "product"), ("BottomUp", "GOO"), ("TopDown", "sum")]:
+        c = jo.heuristic_search(g, 63, heuristic, vertex=vertex).best[63][0]
+        assert c >= best * (1 - 1e-9) and (heuristic != "zero" or c == pytest.approx(best))
     assert jo.heuristic_search(g, 63, beam=2).best[63][0] >= best
     with pytest.raises(ValueError):
         jo.heuristic_search(g, 63, "other")
@@ -93,3 +96,24 @@ def test_estimators(spark):
     assert s.join(r, [0, 1], eq) == pytest.approx(100, rel=0.2)
     assert s.scan(Relation("a", "t", 0, [("v", "<", 50)])) == pytest.approx(50, rel=0.2)
     assert s.scan(Relation("a", "t", 0, [("k", "=", 5)])) == pytest.approx(10, rel=0.2)
+
+
+def test_tools():
+    import json
+
+    from sparrowmill.plans import tools
+    from sparrowmill.sql.parser import parse
+
+    made = tools.fake_cardinalities(["a", "b", "c"], {(0, 1), (1, 2)}, "db", seed=4)
+    assert {frozenset(x["relations"]) for x in made["db"]} == {frozenset(x) for x in ("a", "b", "c", "ab", "bc", "abc")} and made == json.loads(json.dumps(made))
+    (q,) = parse("SELECT a.x FROM t AS a, t AS b, u AS c WHERE a.k = b.k AND b.j = c.j AND (c.z > 3 OR c.z = 1);")
+    got = list(tools.slices(q))
+    assert len(got) == 6 and all(parse(x) for x in got) and sum("c.z" in x for x in got) == 3
+    g = graph("chain", 4, 1)
+    plans = tools.partial_plans(g)
+    assert [len(p) for p in plans] == [4, 3, 2, 1] and sorted(leaves(plans[-1][0])) == [0, 1, 2, 3]
+    samples = [(i, 2 * i % 7, i * i % 11) for i in range(20)]
+    model = tools.TrainedCost.fit(samples, [1 + 2 * a + 3 * b + 4 * c for a, b, c in samples])
+    assert model(1, 1, 1) == pytest.approx(10)
+    trained = jo.Graph(4, g.edges, g.sizes, model)
+    assert jo.order(trained, "DPccp")[0] == pytest.approx(jo.order(trained, "DPsub")[0])
