@@ -15,7 +15,7 @@ from sparrowmill.llm.common import Scratch
 def _large(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
-    return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
 
 
 def _small(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -25,18 +25,22 @@ def _small(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return moved.unionAll(m.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
+def _flat(e: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none of its own: the edges are the result then."""
+    if not e.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``edges``: (u, v) of orderable ids.  Returns (node, component), the component being the smallest node; only nodes with edges."""
-    e = scratch.cut(edges.filter("u != v").select("u", "v").distinct(), f"{name}-0")
-    before, k = None, 0
+    e = edges.filter("u != v").select("u", "v")
+    k = 0
     while True:
         k += 1
         large = scratch.cut(_large(e, scratch, f"{name}-l{k}"), f"{name}-large{k}")
-        nxt = scratch.cut(_small(large, scratch, f"{name}-s{k}"), f"{name}-{k}")
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = scratch.cut(_small(large, scratch, f"{name}-s{k}"), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}", f"{name}-l{k}", f"{name}-s{k}", f"{name}-large{k}")
-        e = nxt
-        if state == before:
+        if _flat(e):
             break
-        before = state
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,13 +6,13 @@ each of its ``CHUNK`` variants with one symbol left out, and all pairs under tha
 0.85 a pair is missed with a probability of about 2e-7 (every chunk has two errors or more; 6e-6 at 0.8), and the more similar, the less.
 
 Documents with equal shingle sets are one class, found by a 128-bit digest of the set; only class representatives are joined.  Within a
-key, members are paired with one centre, not with each other, so a group of n near copies gives n pairs a key.  Confirmed links are
-contracted to components, and only members of one key that are still in different components are paired further: with another
-centre, and last all that remain, so no link is lost.
+key, members are paired with one centre (the smallest id), not with each other, so a group of n near copies gives n pairs a key; their
+intersections are counted on full sets, and links are contracted to components.
 
-What keeps the rest small is an exact bound.  A shingle that no other candidate has can be in no intersection; with ``u`` of them in a
-set of ``n``, the intersection with any other has at most ``n - u``, which bounds the size of a possible partner.  A copy with so many
-edits of its own that it is under the similarity is left out by this before it is paired with a whole group.
+Two members of a key may be linked though neither is with the centre c.  An exact bound leaves few such pairs: a shingle that no other
+candidate has (``own``) is in no intersection, so members x and y share at most min(|x & c|, |y & c|) shingles of the centre and at most
+min(rest of x, rest of y) others, the rest of x being what is neither in c nor its own.  Pairs of different components that this leaves
+a chance are compared, too; no link is lost.
 
 Words are runs of characters other than ASCII white space, with A-Z lower-cased.  A document's set has its distinct runs of
 ``n`` words; with fewer words, its whole sequence; a null or empty text has an empty set and is linked with nothing.  Rows with
@@ -33,7 +33,6 @@ CHUNKS, CHUNK = 7, 4
 SYMBOLS = CHUNKS * CHUNK
 #: Signatures that differ in more symbols aren't looked at further (at a similarity of 0.85, one linked pair in 20 million has that many; at 0.8, one in 300,000); keys alone guarantee ``2 * CHUNKS - 1``.
 FAR = 16
-STAR_ROUNDS = 2
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
@@ -128,70 +127,47 @@ def own_shingles(texts: DataFrame, n: int, ranges: int) -> DataFrame:
     return texts.mapInArrow(spread, packed).groupBy("part").applyInArrow(alone, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
 
 
-def _may_link(percent: int, n_a="na", own_a="ua", n_b="nb", own_b="ub"):
-    """Whether sizes and own shingles leave two sets a chance: the intersection is at most min(n - own)."""
-    most = F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b))
-    return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
+def compare(pairs: DataFrame, texts: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, na, nb, common) of pairs (a, b): sizes of the full sets and of their intersection."""
+    one = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
 
+    def run(batches):
+        for b in batches:
+            rows = [(len(x), len(y), len(x) + len(y) - len(np.union1d(x, y))) for x, y in zip(shingle_sets(b.column(2), n), shingle_sets(b.column(3), n))]
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["a", "b", "na", "nb", "common"])
 
-def _alive(grp: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Members (key, id, grp, n, own) of keys with several groups, without those whose possible partners' sizes no member of the key has."""
-    per = grp.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).filter("lo < hi").select("key", "small", "large")
-    per = scratch.cut(per, f"{name}-per-key")
-    # partners have at least percent % of n, and at most what the intersection of n - own allows
-    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n"))
-    kept = scratch.cut(grp.join(per, "key").filter(fits).select("key", "id", "grp", "n", "own"), f"{name}-fit")
-    several = scratch.cut(kept.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key"), f"{name}-several")
-    out = scratch.cut(kept.join(several, "key"), f"{name}-alive")
-    scratch.drop(f"{name}-per-key", f"{name}-fit", f"{name}-several")
+    out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long"), name)
+    release(texts.sparkSession)
     return out
 
 
-def _stars(members: DataFrame, percent: int, largest: bool, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) of each key's members in other groups than its centre, with the centre."""
-    pick = F.max if largest else F.min
-    centre = members.groupBy("key").agg(pick(F.struct("id", "grp", "n", "own")).alias("c"))
-    centre = scratch.cut(centre.select("key", F.col("c.id").alias("cid"), F.col("c.grp").alias("cgrp"), F.col("c.n").alias("nb"), F.col("c.own").alias("ub")), name)
-    pairs = members.join(centre, "key").filter((F.col("grp") != F.col("cgrp")) & _may_link(percent, "n", "own"))
-    return pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
-
-
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of each key's members in different groups that may link."""
-    left = members.select("key", F.col("id").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("own").alias("ua"))
-    right = members.select("key", F.col("id").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("own").alias("ub"))
-    return left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(percent)).select("a", "b").distinct()
-
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) of the compared pairs that reach the similarity."""
+    return compared.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-def confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch, name: str, checked: list) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.  Signatures are compared first, then sets from the texts.
 
-    Pairs in the tables of ``checked`` were compared before and are left out; those that are compared now are added to it.
+def _chances(stars: DataFrame, own: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of one star in different components that the bound doesn't rule out.
 
-    A text is sent once for each pair that it is in; pairs are stars, so most texts are in few."""
-    side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(_differ("sa", "sb") <= FAR).select("a", "b")
-    for old in checked:
-        close = close.join(old, ["a", "b"], "left_anti")
-    close = scratch.cut(close, f"{name}-close")
-    checked.append(close)
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(shingle_sets(b.column(2), n), shingle_sets(b.column(3), n)):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{name}-links")
-    release(texts.sparkSession)
-    return out
+    ``stars``: compared pairs, ``a`` being the centre."""
+    m = stars.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("nb").alias("n"), "common")
+    m = m.join(own.withColumnRenamed("id", "x"), "x", "left").join(label.withColumnRenamed("node", "x"), "x", "left")
+    m = m.select("c", "x", "n", "common", F.greatest(F.col("n") - F.col("common") - F.coalesce("own", F.lit(0)), F.lit(0)).alias("rest"), F.coalesce("component", "x").alias("grp"))
+    m = scratch.cut(m, "star-members")
+    several = scratch.cut(m.groupBy("c").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("rest").alias("most")).filter("lo < hi").select("c", "small", "most"), "stars-of-several")
+    # a member that can't even be linked with the smallest possible partner goes at once
+    best = F.col("common") + F.least("rest", "most")
+    m = scratch.cut(m.join(several, "c").filter((100 + percent) * best >= percent * (F.col("n") + F.col("small"))).drop("small", "most"), "star-chances")
+    left, right = (m.select("c", *(F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "common", "rest", "grp"))) for side in "lr")
+    most = F.least("common_l", "common_r") + F.least("rest_l", "rest_r")
+    chance = (F.col("x_l") < F.col("x_r")) & (F.col("grp_l") != F.col("grp_r")) & ((100 + percent) * most >= percent * (F.col("n_l") + F.col("n_r")))
+    return left.join(right, (left.c == right.c) & chance).select(F.col("x_l").alias("a"), F.col("x_r").alias("b")).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, links: list | None = None) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept.  ``links`` receives the tables of confirmed pairs, if given."""
+    """Per row: id, n_shingles, component_id, kept.  ``links`` receives the tables of compared pairs, if given."""
     return labelled(docs, id_col, text_col, n, percent, links).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
@@ -215,45 +191,33 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
     classes = s.cut(own.select("d1", "d2", F.col("n_shingles").alias("n"), "id", "sig"), "classes")
     first = s.cut(keys(classes), "keys")
-    shared = s.cut(first.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "shared")
-    members = s.cut(first.join(shared, "key"), "members")
-    s.drop("keys", "shared")
-    ids = s.cut(members.select("id").distinct(), "candidates")
+    centres = s.cut(first.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("key", "a"), "centres")
+    pairs = s.cut(first.join(centres, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    s.drop("keys", "centres")
+    ids = s.cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "candidates")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = s.cut(texts.join(ids, "id"), "texts")  # the one shuffle of whole texts
     release(spark)
-    sizes = classes.join(ids, "id").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("sets"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    ranges = int(max(1, total // 2_500_000))
-    # an id with several texts has no bound
-    alone = own_shingles(texts, n, ranges).withColumnRenamed("id", "of")
-    sizes = s.cut(sizes.join(alone, F.col("id") == F.col("of"), "left").select("id", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("own")), "sizes")
-    sigs = s.cut(classes.join(ids, "id").select("id", "sig"), "sigs")
-    members = s.cut(members.join(sizes, "id"), "sized")
-    s.drop("members")
-    grp = members.withColumn("grp", F.col("id"))
-    confirmed = links if links is not None else []
-    checked: list[DataFrame] = []
-    label = None
-    for r in range(STAR_ROUNDS + 1):
-        if label is not None:
-            grp = s.cut(members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("grp"), "n", "own"), f"groups-{r}")
-        grp = _alive(grp, percent, s, f"round{r}")
-        s.drop("sized", f"groups-{r}", f"round{r - 1}-alive")
-        members = grp.select("key", "id", "n", "own")
-        if grp.isEmpty():
-            break
-        pairs = _stars(grp, percent, r % 2 == 1, s, f"centres-{r}") if r < STAR_ROUNDS else _rest(grp, percent)
-        confirmed.append(confirm(pairs, sigs, texts, n, percent, s, f"round{r}", checked))
-        edges = confirmed[0]
-        for more in confirmed[1:]:
-            edges = edges.unionAll(more)
-        label = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), s, f"cc{r}")
-        release(spark)
-    comp = classes.select("d1", "d2", "n", "id", F.col("id").alias("component"))
-    if label is not None:
-        comp = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    out = rows.join(comp.drop("id"), (rows.d1 == comp.d1) & (rows.d2 == comp.d2) & (rows.n_shingles == comp.n), "left")
+    stars = compare(pairs, texts, n, s, "stars")
+    label = connected_components(_linked(stars, percent), s, "cc0")
+    known = classes.join(ids, "id").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("sets"))
+    known = s.cut(known, "known")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    own = own_shingles(texts, n, int(max(1, total // 2_500_000)))
+    own = s.cut(own.join(known.filter("sets = 1").select("id"), "id"), "own")  # an id with several sets has no bound
+    rest = _chances(stars, own, label, percent, s)
+    side = lambda c: known.select(F.col("id").alias(c), F.when(F.col("sets") == 1, F.col("sig")).alias(f"s{c}"))
+    near = F.coalesce(_differ("sa", "sb") <= FAR, F.lit(True))
+    rest = s.cut(rest.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        late = compare(rest, texts, n, s, "late")
+        label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(_linked(late, percent)), s, "cc1")
+        if links is not None:
+            links.append(late)
+    if links is not None:
+        links.append(stars)
+    comp = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+    out = rows.join(comp, (rows.d1 == comp.d1) & (rows.d2 == comp.d2) & (rows.n_shingles == comp.n), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce(component, "id"))
     return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
