@@ -6,11 +6,13 @@ the order of summing."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparrowmill import operators as ops
 from sparrowmill.plans.cardinality import Injected
@@ -24,11 +26,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
-    """An engine over the driver's tables."""
+#: Schemas of files by path, so that footers are read once.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def engine(spark: SparkSession, sf_dir: str, text: str | None = None, **options) -> Engine:
+    """An engine over the driver's tables, or over those that a text names."""
     e = Engine(spark, **options)
     for name in TABLES:
-        e.register(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+        if text is None or re.search(rf"\b{name}\b", text):
+            e.register(name, read(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"))
     return e
 
 
@@ -38,7 +51,7 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 
 def add(name: str, text: str, oracle: str, round_: bool = False, **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = engine(spark, sf_dir, **options).sql(text)
+        df = engine(spark, sf_dir, text, **options).sql(text)
         return rounded(df) if round_ else df
 
     QUERIES[name], ORACLE_SQL[name] = run, oracle
