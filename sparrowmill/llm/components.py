@@ -14,13 +14,13 @@ from sparrowmill.llm.common import Scratch
 
 def _large(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
+    m = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name, True)
     return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
 
 
 def _small(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = scratch.cut(down.groupBy("u").agg(F.min("v").alias("m")), name)
+    m = scratch.cut(down.groupBy("u").agg(F.min("v").alias("m")), name, True)
     moved = down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(m.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     k = 0
     while True:
         k += 1
-        large = scratch.cut(_large(e, scratch, f"{name}-l{k}"), f"{name}-large{k}")
-        e = scratch.cut(_small(large, scratch, f"{name}-s{k}"), f"{name}-{k}")
+        large = scratch.cut(_large(e, scratch, f"{name}-l{k}"), f"{name}-large{k}", True)
+        e = scratch.cut(_small(large, scratch, f"{name}-s{k}"), f"{name}-{k}", True)
         scratch.drop(f"{name}-{k - 1}", f"{name}-l{k}", f"{name}-s{k}", f"{name}-large{k}")
         if _flat(e):
             break

@@ -138,7 +138,7 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, scratch: Scratch, name:
             cols = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["a", "b", "na", "nb", "common"])
 
-    out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long"), name)
+    out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long"), name, True)
     release(texts.sparkSession)
     return out
 
@@ -155,11 +155,11 @@ def _chances(stars: DataFrame, own: DataFrame, label: DataFrame, percent: int, s
     m = stars.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("nb").alias("n"), "common")
     m = m.join(own.withColumnRenamed("id", "x"), "x", "left").join(label.withColumnRenamed("node", "x"), "x", "left")
     m = m.select("c", "x", "n", "common", F.greatest(F.col("n") - F.col("common") - F.coalesce("own", F.lit(0)), F.lit(0)).alias("rest"), F.coalesce("component", "x").alias("grp"))
-    m = scratch.cut(m, "star-members")
-    several = scratch.cut(m.groupBy("c").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("rest").alias("most")).filter("lo < hi").select("c", "small", "most"), "stars-of-several")
+    m = scratch.cut(m, "star-members", True)
+    several = scratch.cut(m.groupBy("c").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("rest").alias("most")).filter("lo < hi").select("c", "small", "most"), "stars-of-several", True)
     # a member that can't even be linked with the smallest possible partner goes at once
     best = F.col("common") + F.least("rest", "most")
-    m = scratch.cut(m.join(several, "c").filter((100 + percent) * best >= percent * (F.col("n") + F.col("small"))).drop("small", "most"), "star-chances")
+    m = scratch.cut(m.join(several, "c").filter((100 + percent) * best >= percent * (F.col("n") + F.col("small"))).drop("small", "most"), "star-chances", True)
     left, right = (m.select("c", *(F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "common", "rest", "grp"))) for side in "lr")
     most = F.least("common_l", "common_r") + F.least("rest_l", "rest_r")
     chance = (F.col("x_l") < F.col("x_r")) & (F.col("grp_l") != F.col("grp_r")) & ((100 + percent) * most >= percent * (F.col("n_l") + F.col("n_r")))
@@ -189,26 +189,26 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rows = s.cut(signatures(docs, id_col, text_col, n), "signatures")
     full = rows.filter("id is not null and n_shingles > 0")
     own = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
-    classes = s.cut(own.select("d1", "d2", F.col("n_shingles").alias("n"), "id", "sig"), "classes")
-    first = s.cut(keys(classes), "keys")
-    centres = s.cut(first.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("key", "a"), "centres")
-    pairs = s.cut(first.join(centres, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    classes = s.cut(own.select("d1", "d2", F.col("n_shingles").alias("n"), "id", "sig"), "classes", True)
+    first = s.cut(keys(classes), "keys", True)
+    centres = s.cut(first.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("key", "a"), "centres", True)
+    pairs = s.cut(first.join(centres, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs", True)
     s.drop("keys", "centres")
-    ids = s.cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "candidates")
+    ids = s.cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "candidates", True)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = s.cut(texts.join(ids, "id"), "texts")  # the one shuffle of whole texts
+    texts = s.cut(texts.join(ids, "id"), "texts", True)  # the one shuffle of whole texts
     release(spark)
     stars = compare(pairs, texts, n, s, "stars")
     label = connected_components(_linked(stars, percent), s, "cc0")
     known = classes.join(ids, "id").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("sets"))
-    known = s.cut(known, "known")
+    known = s.cut(known, "known", True)
     total = known.agg(F.sum("n")).first()[0] or 0
     own = own_shingles(texts, n, int(max(1, total // 2_500_000)))
-    own = s.cut(own.join(known.filter("sets = 1").select("id"), "id"), "own")  # an id with several sets has no bound
+    own = s.cut(own.join(known.filter("sets = 1").select("id"), "id"), "own", True)  # an id with several sets has no bound
     rest = _chances(stars, own, label, percent, s)
     side = lambda c: known.select(F.col("id").alias(c), F.when(F.col("sets") == 1, F.col("sig")).alias(f"s{c}"))
     near = F.coalesce(_differ("sa", "sb") <= FAR, F.lit(True))
-    rest = s.cut(rest.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = s.cut(rest.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest", True)
     if not rest.isEmpty():
         late = compare(rest, texts, n, s, "late")
         label = connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(_linked(late, percent)), s, "cc1")
