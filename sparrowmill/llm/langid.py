@@ -94,7 +94,9 @@ def train(docs: DataFrame, eligible, id_col: str = "doc_id", text_col: str = "te
             cols = list(zip(*got)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["id", "lang", "x"])
 
-    got = sorted((r["id"] or 0, r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(run, "id long, lang string, x binary").collect())
+    # one row an id and language, so that an id of very many rows stays within the bound
+    bounded = chosen.mapInArrow(run, "id long, lang string, x binary").groupBy("id", "lang").agg(F.min("x").alias("x"))
+    got = sorted((r["id"] or 0, r["lang"], bytes(r["x"])) for r in bounded.collect())
     if not got:
         return None
     return fit(np.stack([np.frombuffer(r[2], np.float32) for r in got]), [r[1] for r in got])

@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([r.tobytes() for r in statistics(b.column(1))[1]], pa.binary())], names=["id", "y", "x"])
 
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(run, "id long, y double, x binary").collect())
+    # one row an id, so that an id of very many rows stays within the bound
+    bounded = rows.mapInArrow(run, "id long, y double, x binary").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r"))
+    got = sorted((r["id"], r["r"]["y"], bytes(r["r"]["x"])) for r in bounded.collect())
     y = np.array([r[1] for r in got])
     if len(np.unique(y > 0.5)) < 2:
         return None
