@@ -30,8 +30,23 @@ _MULT = U(0x9E3779B97F4A7C15)
 # ---------------------------------------------------------------- scratch tables
 
 
+_MADE: list[Scratch] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete what this driver wrote to scratch; results may read it lazily until then."""
+    for s in _MADE:
+        try:
+            s.drop("")
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
 class Scratch:
-    """Tables written to the folder that all executors share (``spark.checkpoint.dir``); they cut lineage and survive executors."""
+    """Tables written to the folder that all executors share (``spark.checkpoint.dir``); they cut lineage and survive executors.
+
+    They are deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -43,6 +58,7 @@ class Scratch:
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             root = "file://" + local
         self.root = f"{root.rstrip('/')}/sparrowmill-{name}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -61,7 +77,7 @@ class Scratch:
         """Delete written tables that nothing reads any more."""
         jvm = self.spark._jvm
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(n))
+            p = jvm.org.apache.hadoop.fs.Path(self.path(n).rstrip("/"))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
