@@ -152,18 +152,24 @@ def _chances(stars: DataFrame, own: DataFrame, label: DataFrame, percent: int, s
     """Pairs (a, b) of members of one star in different components that the bound doesn't rule out.
 
     ``stars``: compared pairs, ``a`` being the centre."""
-    m = stars.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("nb").alias("n"), "common")
+    far = (100 + percent) * F.col("common") < percent * (F.col("na") + F.col("nb"))  # not linked with the centre; of a pair, one is
+    m = stars.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("nb").alias("n"), "common", far.alias("far"))
     m = m.join(own.withColumnRenamed("id", "x"), "x", "left").join(label.withColumnRenamed("node", "x"), "x", "left")
-    m = m.select("c", "x", "n", "common", F.greatest(F.col("n") - F.col("common") - F.coalesce("own", F.lit(0)), F.lit(0)).alias("rest"), F.coalesce("component", "x").alias("grp"))
+    m = m.select("c", "x", "n", "common", "far", F.greatest(F.col("n") - F.col("common") - F.coalesce("own", F.lit(0)), F.lit(0)).alias("rest"), F.coalesce("component", "x").alias("grp"))
     m = scratch.cut(m, "star-members", True)
-    several = scratch.cut(m.groupBy("c").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("rest").alias("most")).filter("lo < hi").select("c", "small", "most"), "stars-of-several", True)
-    # a member that can't even be linked with the smallest possible partner goes at once
-    best = F.col("common") + F.least("rest", "most")
-    m = scratch.cut(m.join(several, "c").filter((100 + percent) * best >= percent * (F.col("n") + F.col("small"))).drop("small", "most"), "star-chances", True)
-    left, right = (m.select("c", *(F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "common", "rest", "grp"))) for side in "lr")
-    most = F.least("common_l", "common_r") + F.least("rest_l", "rest_r")
-    chance = (F.col("x_l") < F.col("x_r")) & (F.col("grp_l") != F.col("grp_r")) & ((100 + percent) * most >= percent * (F.col("n_l") + F.col("n_r")))
-    return left.join(right, (left.c == right.c) & chance).select(F.col("x_l").alias("a"), F.col("x_r").alias("b")).distinct()
+    least, most = lambda c: F.min(F.when(F.col("far"), F.col(c))), lambda c: F.max(F.when(F.col("far"), F.col(c)))
+    per = m.groupBy("c").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("small"), F.max("rest").alias("most"), least("n").alias("small_far"), most("common").alias("common_far"), most("rest").alias("rest_far"))
+    per = scratch.cut(per.filter("lo < hi and small_far is not null").drop("lo", "hi"), "stars-of-several", True)
+    # a member that can't be linked even with the best partner that there might be goes at once
+    best = F.when(F.col("far"), F.col("common") + F.least("rest", "most")).otherwise(F.least("common", "common_far") + F.least("rest", "rest_far"))
+    partner = F.when(F.col("far"), F.col("small")).otherwise(F.col("small_far"))
+    m = scratch.cut(m.join(per, "c").filter((100 + percent) * best >= percent * (F.col("n") + partner)).select("c", "x", "n", "common", "far", "rest", "grp"), "star-chances", True)
+    left, right = (m.select("c", *(F.col(k).alias(f"{k}_{side}") for k in ("x", "n", "common", "far", "rest", "grp"))) for side in "lr")
+    bound = F.least("common_l", "common_r") + F.least("rest_l", "rest_r")
+    once = ~F.col("far_r") | (F.col("x_l") < F.col("x_r"))
+    chance = once & (F.col("grp_l") != F.col("grp_r")) & ((100 + percent) * bound >= percent * (F.col("n_l") + F.col("n_r")))
+    pairs = left.filter("far_l").join(right, (left.c == right.c) & chance)
+    return pairs.select(F.least("x_l", "x_r").alias("a"), F.greatest("x_l", "x_r").alias("b")).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, links: list | None = None) -> DataFrame:
