@@ -23,6 +23,9 @@ WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that are worked on at once; the arrays derived from them take about ten times as much.
 PIECE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
 
@@ -50,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):
@@ -91,7 +95,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes: a batch is held several times on its way to Python and back, in every core."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; batches of what is read are bounded from then on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
