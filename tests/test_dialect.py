@@ -64,7 +64,7 @@ def e(spark, sf):
     "SELECT 1 FROM nation GROUP BY 1", "SELECT n_name FROM nation ORDER BY 1", "SELECT n_name FROM nation HAVING n_name = \"A\"", "SELECT COUNT(*) FROM nation HAVING COUNT(*)", "SELECT SUM(n_name) FROM nation", "SELECT AVG(n_name) FROM nation", "SELECT FOO(1)", "SELECT SUM(*) FROM nation",
     "SELECT n_name FROM nation WHERE n_nationkey", "SELECT * ", "SELECT (SELECT n_name FROM nation)", "SELECT (SELECT 1, 2)", "SELECT n_name FROM nation WHERE n_nationkey = (SELECT COUNT(*) FROM nation)",
     "SELECT q.a FROM region, (SELECT n_name AS a FROM nation WHERE n_regionkey = r_regionkey) AS q", "SELECT 99999999999999999999", "SELECT d'2021-02-29'", "SELECT d'0000-01-01'", "SELECT ISNULL(1, 2)", 'SELECT INT("a")',
-    "SELECT n_name AS a, n_nationkey AS a FROM nation ORDER BY a",
+    "SELECT n_name AS a, n_nationkey AS a FROM nation ORDER BY a", "SELECT * FROM (SELECT n_name AS a, n_nationkey AS a FROM nation) AS q", "SELECT q.a FROM (SELECT n_name AS a, n_nationkey AS a FROM nation) AS q", "SELECT * FROM nation a, nation b GROUP BY a.n_name, b.n_name",
 ])
 def test_semantic_errors(e, text):
     with pytest.raises((SemanticError, ParseError)):
@@ -81,6 +81,11 @@ def test_arithmetic_join(a, b, joined):
     assert t.arithmetic_join(a, b) == joined == t.arithmetic_join(b, a)
 
 
+def test_subqueries_of_from_may_use_outer_aliases(e):
+    assert e.sql("SELECT * FROM region, (SELECT * FROM region) AS b WHERE region.r_name = b.r_name").count() == 5
+    assert e.sql("SELECT b FROM (SELECT n_name AS a, n_name AS a, n_nationkey AS b FROM nation) AS q").count() == 25
+
+
 def test_planned_types_are_the_results(e):
     text = "SELECT n_nationkey / 2 AS a, n_nationkey + 3000000000 AS b, SUM(n_nationkey) AS c, AVG(n_nationkey) AS d, COUNT(*) AS f FROM nation GROUP BY n_nationkey"
     assert [t.from_spark(f.dataType) for f in e.sql(text).schema.fields] == [ty for _, ty in e.plan(text).fields]
