@@ -15,7 +15,7 @@ def one(text):
     return tokens(text)[0]
 
 
-@pytest.mark.parametrize("text,value", [("42", 42), ("017", 15), ("0x1F", 31), ("1.5", 1.5), (".5", 0.5), ("1e3", 1000.0), ("0x1.8p1", 3.0), ('"a\\"b\\\\c\\n"', 'a"b\\c\n')])
+@pytest.mark.parametrize("text,value", [("42", 42), ("017", 15), ("0x1F", 31), ("1.5", 1.5), (".5", 0.5), ("1e3", 1000.0), ("0x1.8p1", 3.0), ("0x1.8", 1.5), ("0x0.", 0.0), ("0x.8", 0.5), ("0x1p3", 8.0), ('"a\\"b\\\\c\\n"', 'a"b\\c\n')])
 def test_literals(text, value):
     assert one(text).value == value
 
