@@ -261,6 +261,15 @@ def verdicts(table: DataFrame, late_rows: DataFrame) -> DataFrame:
     return table.groupBy("sb").cogroup(late_rows.groupBy("sb")).applyInArrow(run, RESULT)
 
 
+def kept_text(text: str | None, repeats: str) -> str:
+    """The words of a text that stay, joined by one space; ``repeats`` as ``dedup`` gives them."""
+    words, out, at = (text or "").encode().split(), [], 0
+    for a, b in (map(int, r.split(":")) for r in repeats.split(",") if r):
+        out += words[at:a]
+        at = b
+    return b" ".join(out + words[at:]).decode()
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and the maximal repeats that are removed."""
     spark = docs.sparkSession

@@ -334,7 +334,9 @@ def test_substrings(request, table):
     want = brute.substring([(r.doc_id, r.text) for r in df.collect()])
     got = rows(substring.dedup(df))
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == want
+    text = {r.doc_id: r.text for r in df.collect()}
     for r in got.values():
+        assert hashlib.sha256(substring.kept_text(text[r.doc_id], r.repeats).encode()).hexdigest() == r.kept_sha256
         assert sum(int(b) - int(a) for a, b in (s.split(":") for s in r.repeats.split(",") if s)) == r.n_removed
 
 
