@@ -64,15 +64,15 @@ def fit(x: np.ndarray, y: list[str], k: int = CENTROIDS, rounds: int = 12) -> Ce
     owner, centres = [], []
     for lang in range(len(langs)):
         rows = v[y == lang]
-        c = [_unit(rows.mean(0))]
-        while len(c) < min(k, len(rows)):  # the row farthest from the centres so far
-            c.append(rows[int(np.argmin((rows @ np.stack(c).T).max(1)))])
-        c = np.stack(c)
+        # seeds at even ranks of likeness to the mean, so that outliers (wrong labels, mixed texts) don't become centroids of their own
+        order = np.argsort(rows @ _unit(rows.mean(0)), kind="stable")
+        n = min(k, len(rows))
+        c = rows[order[[(2 * j + 1) * len(rows) // (2 * n) for j in range(n)]]]
         for _ in range(rounds):
             at = np.argmax(rows @ c.T, 1)
             c = np.stack([_unit(rows[at == j].mean(0)) if (at == j).any() else c[j] for j in range(len(c))])
-        keep = np.bincount(at, minlength=len(c)) >= max(2, len(rows) // 50)  # centroids of outliers (wrong labels) go
-        c = c[keep] if keep.any() else c
+        keep = np.bincount(at, minlength=len(c)) >= max(1, len(rows) // 50)
+        c = c[keep]
         owner += [lang] * len(c)
         centres.append(c)
     return Centroids(langs, np.array(owner), np.concatenate(centres).astype(np.float32), idf.astype(np.float32))
