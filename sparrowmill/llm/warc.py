@@ -145,8 +145,7 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payload_c
     folder = scratch.path("archives")
     decided = plan(pages, id_col, payload_col, least_bytes)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload(payload_col).alias("data"))
-    # the payloads of revisits are needed for nothing but their length, so only the length is shuffled on
-    rows = rows.withColumn("sha", F.sha1("data"))
+    rows = rows.withColumn("sha", F.sha1("data"))  # the one shuffle of payloads is the join with what was decided
     joined = rows.join(decided, rows.page_id.eqNullSafe(decided.page_id) & (rows.sha == decided.sha)).select(rows.page_id, "url", rows.sha, "record_type", "refers_to", "data")
 
     def run(batches):
