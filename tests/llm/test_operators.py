@@ -378,6 +378,22 @@ def test_queries_are_registered(spark, sf):
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", ["op3_warc", "op6_near_duplicates", "op10_substring_dedup"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from sparrowmill.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    res = c.execute(ORACLE_SQL[name])
+    cols = [d[0] for d in res.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(map(repr, (tuple(r[x] for x in cols) for r in df.collect()))) == sorted(map(repr, res.fetchall()))
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as p
 
