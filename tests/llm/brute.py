@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,3 +123,145 @@ def edit_distance_within(item: str, text: str) -> int:
             new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
+
+
+class _Tree(HTMLParser):
+    """A page's blocks by the standard library's parser: nested dicts instead of one scan."""
+
+    def __init__(self, h) -> None:
+        super().__init__(convert_charrefs=False)
+        self.h, self.hidden, self.root = h, [], {"name": "", "up": None, "cues": (), "kids": [], "n": 0, "l": 0}
+        self.now, self.blocks, self.elements = self.root, [([], [])], []
+
+    def _cut(self, name: str, e: dict) -> None:
+        bare = name.removeprefix("/")
+        if bare in self.h.BLOCK and self.blocks[-1][1]:
+            self.blocks.append(([], []))
+        if name == "br":
+            self.blocks[-1][1].append((" ", self.now))
+        if bare in self.h.BLOCK or not self.blocks[-1][1]:
+            self.blocks[-1][0].append((name, e))
+
+    def _path(self) -> list[dict]:
+        out, e = [], self.now
+        while e is not self.root:
+            out.append(e)
+            e = e["up"]
+        return out
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if self.hidden:
+            self.hidden += [tag] * (tag == self.hidden[0])
+            return
+        if tag in self.h.HIDDEN:
+            if tag in self.h.BLOCK:
+                self._cut(tag, self.now)
+            self.hidden.append(tag)
+            return
+        if tag in self.h.VOID:
+            self._cut(tag, self.now)
+            return
+        if tag in self.h.BLOCK:
+            block = next((e for e in self._path() if e["name"] in self.h.BLOCK), None)
+            if block and block["name"] == "p":
+                self.now = block["up"]
+        last = None
+        for e in self._path():
+            if e["name"] in self.h.ENDS.get(tag, ()):
+                last = e
+            elif e["name"] in self.h.WITHIN:
+                break
+        if last:
+            self.now = last["up"]
+        names = [e["name"] for e in self._path()]
+        cues = []
+        if tag in self.h.PARTS:
+            cues.append("<" + tag + " in an article" * (tag in ("header", "footer") and ("article" in names or "main" in names)))
+        for k, v in attrs:
+            cues += [("role " if k == "role" else "") + x for x in (v or "").lower().split() if k in ("class", "id", "role")]
+        a = dict(attrs)
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or ""):
+            cues.append("hidden")
+        e = {"name": tag, "up": self.now, "cues": tuple(dict.fromkeys(cues)), "n": 0, "l": 0, "link": tag == "a" or "a" in names}
+        self._cut(tag, e)
+        self.elements.append(e)
+        self.now = e
+
+    def handle_endtag(self, tag) -> None:
+        if self.hidden:
+            if tag == self.hidden[0]:
+                self.hidden.pop()
+            return
+        e = next((e for e in self._path() if e["name"] == tag), None)
+        if e:
+            self.now = e["up"]
+        self._cut("/" + tag, e or self.now)
+
+    def _text(self, text: str) -> None:
+        if self.hidden:
+            return
+        if self.blocks[-1][1] and self.blocks[-1][1][-1][1] is self.now:
+            text = self.blocks[-1][1].pop()[0] + text
+        self.blocks[-1][1].append((text, self.now))
+
+    handle_data = _text
+
+    def handle_entityref(self, name) -> None:
+        self._text(f"&{name};")
+
+    def handle_charref(self, name) -> None:
+        self._text(f"&#{name};")
+
+
+def main_text(page: str | None, w, h) -> str:
+    """Main text by trying every region; ``h`` has the fixed values of HTML, ``w`` the weights."""
+    t = _Tree(h)
+    t.feed(page or "")
+    t.close()
+    for _, parts in t.blocks:
+        for text, e in parts:
+            link, n = e.get("link", False), len(text.split())
+            while e is not None:
+                e["n"], e["l"] = e["n"] + n, e["l"] + n * link
+                e = e["up"]
+    above = lambda e: [e] + above(e["up"]) if e is not None else []
+
+    def negative(e):
+        own = sum(w.cues.get(c, 0) for c in e["cues"])
+        length = f"words {min(e['n'], 1000).bit_length() // 2}"
+        shape = w.cues.get(f"links {min(3, 4 * e['l'] // max(1, e['n']))}", 0) + w.cues.get(length, 0)
+        shape += sum(w.cues.get(f"{c} {length}", 0) for c in e["cues"] if c.startswith("<"))
+        return e["name"] not in ("", "html", "body") and own < 0 and own + shape < 0
+
+    left = lambda e: [x for x in above(e) if negative(x)]
+    authors = {x: {id(e) for e in t.elements if e["name"] == x and e["n"] and not left(e)} for x in ("article", "main")}
+
+    def place(e):
+        ids = {id(x) for x in above(e)}
+        if ids & authors["article"]:
+            return "article"
+        if ids & authors["main"]:
+            return "beside" if authors["article"] else "main"
+        return "outside" if authors["article"] or authors["main"] else "plain"
+
+    scores, last = [], None
+    for tags, parts in t.blocks:
+        a = sum(w.tag.get((n, place(e)), w.other) for n, e in tags if not left(e))
+        b = 0.0
+        for text, e in parts:
+            if gone := left(e):
+                if gone[-1] is not last:
+                    last = gone[-1]
+                    a += w.skip[place(last["up"])]
+            else:
+                b += len(text.split()) * w.word[place(e), e.get("link", False)]
+        scores.append((a * w.scale, b))
+    best, span = 0.0, (0, 0)
+    for i in range(len(scores)):
+        run = 0.0
+        for j in range(i, len(scores)):
+            run += scores[j][1] + (scores[j][0] if j > i else 0.0)
+            if run > best + 1e-9:
+                best, span = run, (i, j + 1)
+    out = ["".join(x for x, e in parts if not left(e)) for _, parts in t.blocks[span[0] : span[1]]]
+    return "\n".join(x for o in out if (x := re.sub(r"\s+", " ", html.unescape(o)).strip()))

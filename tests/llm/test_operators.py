@@ -131,7 +131,7 @@ def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     html = {r.page_id: r for r in pages.collect()}
     text = rows(html_text.main_text(pages), "page_id")
-    assert {i: (r.url, r.text, r.n_chars) for i, r in text.items()} == {i: (p.url, html_text.extract(p.html), len(html_text.extract(p.html))) for i, p in html.items()}
+    assert {i: (r.url, r.text, r.n_chars) for i, r in text.items()} == {i: (p.url, t := brute.main_text(p.html, html_text.weights(), html_text), len(t)) for i, p in html.items()}
     got = rows(warc.page_rows(spark, pages, 3), "page_id")
     assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in got.items()} == brute.warc([(i, p.html) for i, p in html.items()])
 
