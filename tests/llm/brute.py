@@ -265,3 +265,26 @@ def main_text(page: str | None, w, h) -> str:
                 best, span = run, (i, j + 1)
     out = ["".join(x for x, e in parts if not left(e)) for _, parts in t.blocks[span[0] : span[1]]]
     return "\n".join(x for o in out if (x := re.sub(r"\s+", " ", html.unescape(o)).strip()))
+
+
+def holds_items(docs: list[tuple[int, str]], items: dict[int, tuple[str, int]]) -> dict[int, set[int]]:
+    """Items that each text holds with at most so many edits, by the full table of distances of each item to all texts."""
+    import numpy as np
+
+    gap = np.zeros(max((k for _, k in items.values()), default=0) + 1, np.uint8)  # no path over it is within the budget
+    parts, bounds = [gap], [len(gap)]
+    for _, t in docs:
+        parts += [np.frombuffer(t.encode("utf-8"), np.uint8), gap]
+        bounds.append(bounds[-1] + len(parts[-2]) + len(gap))
+    d = np.concatenate(parts)
+    step = np.arange(len(d) + 1, dtype=np.int32)
+    out = defaultdict(set)
+    for i, (item, k) in items.items():
+        row = np.zeros(len(d) + 1, np.int32)
+        for c in item.encode("utf-8"):
+            new = row + 1
+            new[1:] = np.minimum(new[1:], row[:-1] + (d != c))
+            row = np.minimum.accumulate(new - step) + step
+        for n in np.unique(np.searchsorted(bounds, np.flatnonzero(row <= k), "right") - 1):
+            out[docs[n][0]].add(i)
+    return out
