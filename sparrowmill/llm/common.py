@@ -23,6 +23,8 @@ WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that are worked on at once; the arrays derived from them take about ten times as much.
 PIECE_BYTES = 1 << 20
 
+#: Bytes of a task that writes a table of short rows, about.
+TASK_BYTES = 32 << 20
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
 
@@ -67,13 +69,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, upto: int | None = None) -> DataFrame:
         """Write ``df`` and return the written table.
 
-        ``few``: for tables of short rows; at most eight files for each core, since opening very many tiny files costs more than their rows."""
+        ``upto``: a bound of the table's bytes.  If tasks of ``TASK_BYTES`` are fewer than the shuffle partitions, so many are made (but
+        at least eight a core), since opening very many tiny files costs more than their rows."""
         p = self.path(name)
-        if few and shuffle_partitions(self.spark) > (limit := 8 * self.spark.sparkContext.defaultParallelism):
-            df = df.coalesce(limit)
+        if upto is not None:
+            tasks = max(8 * self.spark.sparkContext.defaultParallelism, -(-upto // TASK_BYTES))
+            if tasks < shuffle_partitions(self.spark):
+                df = df.coalesce(tasks)
         df.write.mode("overwrite").parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 

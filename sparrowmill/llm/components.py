@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from sparrowmill.llm.common import Scratch
 
 
-def _large(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _large(e: DataFrame, scratch: Scratch, name: str, upto: int) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name, True)
+    m = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name, upto)
     return both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
 
 
-def _small(e: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _small(e: DataFrame, scratch: Scratch, name: str, upto: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = scratch.cut(down.groupBy("u").agg(F.min("v").alias("m")), name, True)
+    m = scratch.cut(down.groupBy("u").agg(F.min("v").alias("m")), name, upto)
     moved = down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(m.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
@@ -33,13 +33,13 @@ def _flat(e: DataFrame) -> bool:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """``edges``: (u, v) of orderable ids.  Returns (node, component), the component being the smallest node; only nodes with edges."""
+    """``edges``: (u, v) of orderable ids.  Returns (node, component), the component being the smallest node; only nodes with edges.  Without edges, no rows."""
     e = edges.filter("u != v").select("u", "v")
-    k = 0
+    k, upto = 0, 64 * e.count()  # bytes; a step at most doubles the edges
     while True:
         k += 1
-        large = scratch.cut(_large(e, scratch, f"{name}-l{k}"), f"{name}-large{k}", True)
-        e = scratch.cut(_small(large, scratch, f"{name}-s{k}"), f"{name}-{k}", True)
+        large = scratch.cut(_large(e, scratch, f"{name}-l{k}", upto), f"{name}-large{k}", upto)
+        e = scratch.cut(_small(large, scratch, f"{name}-s{k}", upto), f"{name}-{k}", upto)
         scratch.drop(f"{name}-{k - 1}", f"{name}-l{k}", f"{name}-s{k}", f"{name}-large{k}")
         if _flat(e):
             break
