@@ -153,7 +153,7 @@ def compare(pairs: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratc
     stars = scratch.cut(sized.groupBy("a").agg(F.sum("n").alias("n")), f"{name}-sizes", ROW_BYTES * pairs.count())
     total = stars.agg(F.sum("n")).first()[0] or 0
     groups = max(4 * shuffle_partitions(pairs.sparkSession), -(-total // SHARE))
-    share = max(1 << 14, min(SHARE, total // groups))
+    share = max(1 << 11, min(SHARE, total // groups))
     dealt = pairs.select("a", "b").join(stars.select("a", F.ceil(F.col("n") / share).alias("salts")), "a")
     salt = F.pmod(F.xxhash64(F.lit(1), "b"), F.col("salts"))
     dealt = scratch.cut(dealt.select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(groups)).alias("grp")), f"{name}-dealt", ROW_BYTES * pairs.count())

@@ -8,9 +8,11 @@ executors leave nothing behind that is read.
 Reading: every task streams archives of the manifest and yields a row (record id, chunk number, payload bytes, digest so far) for
 each segment; the digest is carried from chunk to chunk, so neither side holds a whole oversized payload in its archive form.
 
-Payloads that occur more than once (from ``least_bytes`` bytes on): the copy with the largest id is the ``response``, the others are
-``revisit`` records without a block that refer to it.  A null payload counts as empty.  Rows with equal id and equal payload
-share their fate; rows with equal id and other payloads are records of their own.
+Payloads that occur more than once (from ``least_bytes`` bytes on): of the rows with the largest id that with the largest URL is the
+``response``, all others are ``revisit`` records without a block that refer to it.  Repeated rows are records of their own, so of equal
+rows one is the response and the others revisit it.  Rows are counted before anything else is decided, so payloads travel once for each
+id and digest, and those of revisits aren't written.  A null payload counts as empty; a null id is smaller than all others.  An empty
+table gives no archives and no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -37,14 +40,28 @@ def b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Record type and reference of each (id, payload digest), from digests alone: payloads are not shuffled.
+#: Parts that the rows of one id, digest and URL are counted in, so that very many equal rows aren't one row of the counts.
+SALTS = 32
+DECIDED = ("page_id", "url", "sha", "len", "record_type", "refers_to", "refers_to_url", "ordinal")
 
-    The largest id of a digest is a partial aggregate, and the join back is one that adaptive execution splits on hot digests."""
-    sha = pages.select(F.col(id_col).alias("page_id"), F.sha1(payload(payload_col)).alias("sha"), F.length(payload(payload_col)).cast("long").alias("len")).distinct()
-    top = sha.groupBy("sha").agg(F.max("page_id").alias("top"))
-    revisit = (F.col("len") >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return sha.join(top, "sha").select("page_id", "sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
+
+def plan(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0) -> DataFrame:
+    """A row for each record, without payloads; see ``DECIDED``.  ``ordinal`` is 0 for the one response of a payload.
+
+    Equal rows are counted first.  The largest id of a digest is a partial aggregate, and the join back is one that adaptive execution
+    splits on hot digests."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.sha1(payload(payload_col)).alias("sha"), F.length(payload(payload_col)).cast("long").alias("len"))
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    seen = scratch.cut(rows.groupBy("page_id", "url", "sha", "len", "salt").agg(F.count(F.lit(1)).alias("n")), "seen")
+    order = lambda: F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("has_url"), "url", "salt")
+    top = seen.groupBy("sha").agg(F.max(order()).alias("top"))
+    both = seen.join(top, "sha").withColumn("first", F.col("top") == order()).withColumn("small", F.col("len") < least_bytes)
+    each = both.withColumn("ordinal", F.explode(F.sequence(F.when(F.col("first"), 0).otherwise(1), F.col("n") - F.col("first").cast("long"))))
+    each = each.filter("ordinal >= 0").withColumn("revisit", ~F.col("small") & ~(F.col("first") & (F.col("ordinal") == 0)))
+    of_revisit = lambda c: F.when(F.col("revisit"), c)
+    ordinal = F.when(F.col("first") & (F.col("ordinal") == 0), F.lit(0)).otherwise(F.col("ordinal") * SALTS + F.col("salt") + 1)
+    kind = F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type")
+    return each.select("page_id", "url", "sha", "len", kind, of_revisit(F.col("top.page_id")).alias("refers_to"), of_revisit(F.col("top.url")).alias("refers_to_url"), ordinal.alias("ordinal"))
 
 
 def payload(col: str):
@@ -57,11 +74,23 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def record_id(page_id, sha_hex: str, ordinal: int = 0, url: str | None = None) -> str:
+    """``ordinal`` and the URL tell repeated rows apart; the response that others refer to has ordinal 0 and no URL in its name."""
+    name = f"{page_id}/{sha_hex}" + (f"/{ordinal}/{url}" if ordinal else "")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _target(name: str, url: str | None) -> list[tuple[str, str]]:
+    return [] if url is None else [(name, url if url.isprintable() else quote(url))]
+
+
 class ArchiveWriter:
-    """Streams records into one gzip-per-record archive."""
+    """Streams records into one gzip-per-record archive, led by a ``warcinfo`` record."""
 
-    def __init__(self, sink, chunk_bytes: int = CHUNK_BYTES) -> None:
-        self.sink, self.chunk = sink, chunk_bytes
+    def __init__(self, sink, chunk_bytes: int = CHUNK_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
+        self.sink, self.chunk, self.date = sink, chunk_bytes, date
+        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+        self._member(info, b"format: WARC File Format 1.1\r\n")
 
     def _member(self, fields: list[tuple[str, str]], block) -> None:
         z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -69,24 +98,28 @@ class ArchiveWriter:
         for part in (z.compress(head), z.compress(block), z.compress(CRLF + CRLF), z.flush()):
             self.sink.write(part)
 
-    def add(self, page_id, url: str | None, sha_hex: str, record_type: str, refers_to, data) -> None:
-        """``data``: the payload; of a revisit only its length and digest are written."""
-        rid, total = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{sha_hex}')}>", len(data)
-        fields = [("WARC-Type", record_type), ("WARC-Record-ID", rid), ("WARC-Date", "1970-01-01T00:00:00Z"), ("X-Page-ID", "" if page_id is None else str(page_id))]
-        if url is not None:
-            fields.append(("WARC-Target-URI", url if url.isprintable() else quote(url)))
-            fields += [("X-URL-JSON", json.dumps(url))] * (not url.isprintable() or url.strip() != url)
+    def add(self, page_id, url: str | None, sha_hex: str, record_type: str, refers_to, data, total: int | None = None, refers_to_url: str | None = None, ordinal: int = 0) -> None:
+        """``data``: the payload; of a revisit only its length (``total``) and digest are written."""
+        total = len(data) if total is None else total
+        rid = record_id(page_id, sha_hex, ordinal, url)
+        fields = [("WARC-Type", record_type), ("WARC-Record-ID", rid), ("WARC-Date", self.date), ("X-Page-ID", "" if page_id is None else str(page_id))]
+        fields += _target("WARC-Target-URI", url)
+        if url is not None and (not url.isprintable() or url.strip() != url):
+            fields.append(("X-URL-JSON", json.dumps(url)))
         fields += [("WARC-Payload-Digest", "sha1:" + b32(bytes.fromhex(sha_hex))), ("X-Payload-Length", str(total))]
         if record_type == "revisit":
-            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to))]
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, sha_hex))]
+            fields += [*_target("WARC-Refers-To-Target-URI", refers_to_url), ("WARC-Refers-To-Date", self.date), ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
             self._member(fields, b"")
             return
+        fields.append(("Content-Type", "text/html; charset=utf-8"))
         view = memoryview(data)
         parts = max(1, -(-total // self.chunk))
         self._member(fields + [("WARC-Segment-Number", "1")] * (parts > 1), view[: self.chunk])
         for k in range(1, parts):
             last = [("WARC-Segment-Total-Length", str(total))] * (k == parts - 1)
-            self._member([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rid}/{k}')}>"), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k + 1)), *last], view[k * self.chunk : (k + 1) * self.chunk])
+            more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rid}/{k}')}>"), ("WARC-Date", self.date)]
+            self._member([*more, ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k + 1)), *last], view[k * self.chunk : (k + 1) * self.chunk])
 
 
 def _members(source, read_bytes: int = 1 << 18):
@@ -120,6 +153,8 @@ def read_archive(source):
     rid = page = total = url = None
     for fields, block in _members(source):
         kind = fields["WARC-Type"]
+        if kind == "warcinfo":
+            continue
         if kind == "continuation":
             if fields["WARC-Segment-Origin-ID"] != rid:
                 raise ValueError("a continuation without its first segment")
@@ -131,7 +166,7 @@ def read_archive(source):
             last = "WARC-Segment-Number" not in fields
             url = json.loads(fields["X-URL-JSON"]) if "X-URL-JSON" in fields else fields.get("WARC-Target-URI")
         if kind == "revisit":
-            yield rid, page, 0, kind, int(fields["X-Refers-To-Page"]), b"", claimed, True, total, url
+            yield rid, page, 0, kind, int(fields["X-Refers-To-Page"]) if fields["X-Refers-To-Page"] else None, b"", claimed, True, total, url
             continue
         digest.update(block)
         seen += len(block)
@@ -142,11 +177,13 @@ def read_archive(source):
 
 def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", chunk_bytes: int = CHUNK_BYTES, least_bytes: int = 0) -> DataFrame:
     """Write archives of all rows; returns the written manifest (uri, records)."""
-    folder = scratch.path("archives")
-    decided = plan(pages, id_col, payload_col, least_bytes)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload(payload_col).alias("data"))
-    rows = rows.withColumn("sha", F.sha1("data"))  # the one shuffle of payloads is the join with what was decided
-    joined = rows.join(decided, rows.page_id.eqNullSafe(decided.page_id) & (rows.sha == decided.sha)).select(rows.page_id, "url", rows.sha, "record_type", "refers_to", "data")
+    folder, date = scratch.path("archives"), datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    decided = scratch.cut(plan(pages, scratch, id_col, payload_col, url_col, least_bytes), "decided")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # the one shuffle of payloads; of equal rows one travels
+    held = pages.select(key(id_col).alias("key"), F.sha1(payload(payload_col)).alias("sha"), payload(payload_col).alias("data")).groupBy("sha", "key").agg(F.first("data").alias("data"))
+    responses = decided.filter("record_type = 'response'").withColumn("key", key("page_id")).join(held, ["sha", "key"]).select(*DECIDED, "data")
+    joined = responses.unionByName(decided.filter("record_type = 'revisit'").withColumn("data", F.lit(b"")))
 
     def run(batches):
         sink = uri = None
@@ -157,11 +194,11 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payload_c
                 fs.create_dir(path, recursive=True)
                 name = f"part-{uuid.uuid4().hex}.warc.gz"
                 uri, sink = f"{folder}/{name}", fs.open_output_stream(f"{path}/{name}", compression=None)
-                writer = ArchiveWriter(sink, chunk_bytes)
-            cols = [b.column(k) for k in range(5)]
-            data = b.column(5)
+                writer = ArchiveWriter(sink, chunk_bytes, date)
+            data = b.column(len(DECIDED))
             for i in range(b.num_rows):
-                writer.add(*(c[i].as_py() for c in cols), data[i].as_buffer())
+                page, url, sha, total, kind, to, to_url, ordinal = (b.column(k)[i].as_py() for k in range(len(DECIDED)))
+                writer.add(page, url, sha, kind, to, data[i].as_buffer(), total, to_url, ordinal)
                 n += 1
         if sink is not None:
             sink.close()

@@ -153,8 +153,41 @@ def test_archives_of_edges(spark):
         if c.record_type == "response":
             assert c.running_digest == warc.b32(hashlib.sha1(whole[c.page_id]).digest())
     assert whole[0] == PAGE_ROWS[0][2].encode() and whole[5] == PAGE_ROWS[5][2].encode() and whole[3] == b""
-    again = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (None, "n", "x")], "page_id long, url string, html string")
-    assert Counter((r.page_id, r.record_type) for r in warc.page_rows(spark, again, 2).collect()) == Counter({(1, "response"): 3, (None, "revisit"): 1})
+
+
+def test_archives_of_repeated_rows(spark):
+    """Of equal payloads one record is the response, whatever is repeated; record ids are unique, and chunks are put together by them."""
+    big = "y" * 200_000
+    data = [(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (1, "a", "y"), (None, "n", "x"), (2, "p", big), (2, "p", big), (2, "p", big + "z"), (None, "u", "only"), (None, "u", "only"), (None, None, None), (None, None, "")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = warc.page_rows(spark, pages, 2).collect()
+    want = Counter({(1, "x", "revisit", 1): 2, (1, "x", "response", None): 1, (None, "x", "revisit", 1): 1, (1, "y", "response", None): 1, (2, big, "response", None): 1, (2, big, "revisit", 2): 1, (2, big + "z", "response", None): 1})
+    want.update({(None, "only", "response", None): 1, (None, "only", "revisit", None): 1, (None, "", "response", None): 1, (None, "", "revisit", None): 1})
+    digest = {warc.b32(hashlib.sha1(t.encode()).digest()): t for _, t, *_ in want}
+    assert Counter((r.page_id, digest[r.payload_digest], r.record_type, r.refers_to) for r in got) == want
+    chunks = warc.read(warc.write(pages, Scratch(spark, "t"), chunk_bytes=1 << 14), 2).collect()
+    assert len({(c.record_id, c.chunk_no) for c in chunks}) == len(chunks) and len({c.record_id for c in chunks}) == len(data)
+    whole = defaultdict(bytes)
+    for c in sorted(chunks, key=lambda c: (c.record_id, c.chunk_no)):
+        whole[c.record_id] += bytes(c.data)
+    kept = Counter(whole[c.record_id].decode() for c in chunks if c.chunk_no == 0 and c.record_type == "response")
+    assert kept == Counter({t: 1 for _, t, kind, _ in want if kind == "response"})
+    small = warc.page_rows(spark, pages, 2)
+    assert small.count() == len(data)
+    few = warc.read(warc.write(pages, Scratch(spark, "t"), least_bytes=1000), 2, digests_only=True).filter("last").collect()
+    assert Counter(r.record_type for r in few) == {"response": 11, "revisit": 1} and len({r.record_id for r in few}) == len(data)
+
+
+def test_archives_can_be_read_by_others(spark):
+    """Standard headers: a warcinfo record first, and revisits name the record that they refer to."""
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x")], "page_id long, url string, html string")
+    text = b"".join(gzip.open(r.uri.removeprefix("file://")).read() for r in warc.write(pages, Scratch(spark, "t")).collect()).decode()
+    records = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:]) for r in ("\r\n\r\n" + text).split("\r\n\r\nWARC/1.1")[1:] for r in ("WARC/1.1" + r,)]
+    by = {r["WARC-Target-URI"]: r for r in records if "WARC-Target-URI" in r}
+    assert text.startswith("WARC/1.1\r\nWARC-Type: warcinfo") and by["http://a"]["WARC-Refers-To"] == by["http://b"]["WARC-Record-ID"]
+    assert by["http://a"]["WARC-Refers-To-Target-URI"] == "http://b" and all(r["Content-Type"] for r in records if r["WARC-Type"] in ("response", "warcinfo")) and all(r["WARC-Date"] > "2020" for r in records)
 
 
 # ---------------------------------------------------------------- 5: mixing
