@@ -4,28 +4,30 @@ A text's vector has the TF-IDF of its hashed character n-grams (1 to 3 code poin
 normalised.  Every language has several centroids, found by spherical k-means.  The language of the nearest centroid by cosine is
 predicted; a text that is farther from all centroids than ``REJECT`` is flagged as rejected (its nearest language is still named).
 
-The classifier is fitted on a bounded sample: about ``PER_LANG`` rows of each language, those with the smallest hash of their id.
-A null text, or one without a letter, is ``und`` with score 0.  Texts are read whole; repeated rows are predicted alike.
+The classifier is fitted on a bounded sample: about ``PER_LANG`` rows of each language, those with the smallest hash of their id, and
+fewer where ``SAMPLE`` rows in all would be exceeded; of more than ``LANGS`` labels the most frequent ones are learned.  Letters are
+what Unicode puts in category L.  A null text, or one without a letter, is ``und`` with score 0.  Texts are read whole; repeated rows
+are predicted alike; of centroids with equal cosines the first counts (languages in order, then as found).  Without rows to learn
+from, everything is ``und``; an empty table gives no rows.  Columns but id, text and language aren't read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documented bounds of the fitted classifier.
-PER_LANG = 600
+PER_LANG, SAMPLE, LANGS = 600, 12_000, 200
 DIM = 2048
 CENTROIDS = 3
 REJECT = 0.75  # cosine distance
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-_SPACES = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_SPACES = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def counts(text: str) -> np.ndarray | None:
@@ -81,12 +83,14 @@ def fit(x: np.ndarray, y: list[str], k: int = CENTROIDS, rounds: int = 12) -> Ce
 def train(docs: DataFrame, eligible, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Centroids | None:
     """Fit on a bounded sample of the rows where ``eligible`` holds; None if there are none."""
     rows = docs.filter(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, F.col(lang_col).alias("lang"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    n = {r["lang"]: r["n"] for r in most.collect()}
     if not n:
         return None
+    per_lang = min(per_lang, max(1, SAMPLE // len(n)))
     unit = (F.xxhash64(F.lit("langid"), id_col) / F.lit(float(1 << 63)) + 1) / 2
     rate = F.create_map(*(F.lit(x) for kv in ((k, min(1.0, per_lang / v)) for k, v in sorted(n.items())) for x in kv))
-    chosen = rows.filter(unit < rate[F.col("lang")])
+    chosen = rows.filter(F.col("lang").isin(list(n)) & (unit < F.try_element_at(rate, F.col("lang"))))
 
     def run(batches):
         for b in batches:
