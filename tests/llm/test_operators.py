@@ -124,6 +124,19 @@ def test_language(spark, edges):
     assert langid.train(edges, langid.F.lit(False)) is None and rows(langid.predict(edges, None))[0].lang_pred == "und"
 
 
+def test_letters_and_labels(spark, monkeypatch):
+    """Numbers that aren't digits are no letters; of very many labels the most frequent ones are learned, from a bounded sample."""
+    data = [(k, " ".join(random.Random(k).choice(("der", "die", "und", "nicht")) for _ in range(30)), "de") for k in range(40)] + [(100 + k, "the of and that " * 9, "en") for k in range(30)]
+    data += [(1000 + k, "mixed up words", f"x{k}") for k in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGS", 2)
+    model = langid.train(df, langid.F.lit(True))
+    assert sorted(model.langs) == ["de", "en"]
+    texts = ["½ ² ① ٣ — 12", "½ der die und", "\u0300\u0301", "", None, "ª nicht", "漢字", "_"]
+    got = rows(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))
+    assert [got[i].lang_pred == "und" for i in range(len(texts))] == [True, False, True, True, True, False, False, True] and got[1].lang_pred == "de"
+
+
 # ---------------------------------------------------------------- 2, 3: pages
 
 
@@ -243,6 +256,43 @@ def test_mixed_rows(spark, edges):
     assert set(n) <= {(r.doc_id, r.text) for r in odd.collect()} and all(v <= 4 for v in n.values())
 
 
+@pytest.mark.parametrize("bins,range_", [(10_000, 100_000), (2, 3)])
+def test_targets_of_many_sources(spark, monkeypatch, bins, range_):
+    """Sources by the hundred, in several ranges, the level narrowed over several rounds."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "RANGE", range_)
+    rng = random.Random(4)
+    size = {f"s{rng.randrange(10**6)}é{k}": rng.choice((0, 1, 7, 7, rng.randrange(10**3), rng.randrange(10**7))) for k in range(23 if bins == 2 else 400)} | {None: 50}
+    df = spark.createDataFrame([(k, v) for k, v in size.items()], "source string, size long")
+    got = {r.source: (r.source_size, r.target) for r in mixing.targets(df, Scratch(spark, "t")).collect()}
+    want = expected_targets(size)
+    assert set(got) == set(size) and all(got[k][0] == size[k] and got[k][1] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in size)
+
+
+def test_mixing_of_rows_without_ids(spark, monkeypatch):
+    """Thousands of equal rows without an id, and of one id: no group is larger than dealt, and each row is rounded on its own."""
+    monkeypatch.setattr(mixing, "GROUP", 100)
+    monkeypatch.setattr(mixing, "EXPAND", 700)
+    seen = []
+    real = mixing.numbered
+    monkeypatch.setattr(mixing, "numbered", lambda rows, s: seen.append(real(rows, s)) or seen[-1])
+    data = [(None, "five words are in here", "en", "a")] * 5000 + [(7, "three more words", "en", "a")] * 3000 + [(8, None, "en", "b")] * 2000 + [(9, "other words", "en", "b")] * 10
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mixing.report(df).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == {(None, 5): 5000, (7, 3): 3000, (8, 0): 2000, (9, 2): 10}
+    keys = [r.key for r in seen[0].collect()]
+    assert len(set(keys)) == len(keys) == len(data)
+    groups = Counter((r.source, r.g) for r in seen[0].select("source", (mixing.F.xxhash64(mixing.F.lit(18), "key") % 80).alias("g")).collect())
+    assert max(groups.values()) < 250
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.taken
+    target = {r.doc_id: r.target for r in got}
+    assert abs(total[None] + total[7] - target[7]) <= 5 and 0.9 < total[None] / 5 / 5000 / (total[7] / 3 / 3000) < 1.1
+    rows_ = Counter(r.doc_id for r in mixing.mixed(df).collect())
+    assert abs(5 * rows_[None] + 3 * rows_[7] - target[7]) <= 5 and rows_[9] <= 20
+
+
 # ---------------------------------------------------------------- 6: near-duplicates
 
 
