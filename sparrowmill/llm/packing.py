@@ -1,13 +1,17 @@
 """Token ids in packed matrices: best-fit-decreasing packing with a segment tree over capacities.
 
-Texts are tokenised with a given public vocabulary (a rank file, by path), documents are dealt by a hash of their id into groups of
-about ``GROUP`` rows, and every group packs its pieces on its own: longest first, each into the fullest row that still has room, found
-in a segment tree over the remaining capacities.  A document longer than a row is split into pieces, losslessly: piece ``k`` holds
-tokens ``k * width`` to ``(k + 1) * width``.  An end token is added to each document.
-
-A packed row has its ids (little-endian, two bytes each if the vocabulary allows, else four), cumulative segment lengths, and for each segment the document
-and its first token's offset in it; positions restart at every segment, see ``positions``.  A null or empty text has no tokens but its end
-token.  Rows with equal ids are documents of their own.
+Texts are tokenised with a given public vocabulary (a rank file, by path) and an end token is added to each.  A document longer than a
+row is split into pieces, losslessly: piece ``k`` holds tokens ``k * width`` to ``(k + 1) * width``.  Pieces are dealt by a hash into
+groups of about ``GROUP``, so a group has a bounded number of bytes however long documents are, and every group packs its pieces on its
+own: longest first, each into the fullest row that still has room, found in a segment tree over the remaining capacities.  Pieces of
+equal length are taken by id (rows without one last), start and tokens.
+
+``write_binary`` writes packed rows as matrices of ids (little-endian, two bytes each if the vocabulary allows, else four), position
+resets (a bit for each token: whether its position is 0), cumulative segment lengths, and for each segment the document and its first
+token's offset in it; ``read_binary`` reads them again.
+
+A null or empty text has no tokens but its end token.  Rows with equal ids, or none, are documents of their own; equal rows are numbered
+within a task, so they aren't all dealt to one group.  An empty table gives no rows; columns but id and text aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowmill.llm.common import Scratch, shuffle_partitions
+
 WIDTH = 2048
 GROUP = 500
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,9 +42,10 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: The tokenizer's pattern backtracks over white space; longer runs are encoded in parts, which decode to the same text.
+#: White space in Unicode, as the tokenizer's pattern has it; its engine runs out of stack on very long runs of it, so those that are
+#: longer than ``SPACE_RUN`` are given to the merges as the one piece that the pattern makes of them.  Ids are the tokenizer's own.
 SPACE_RUN = 10_000
-_SPACES = re.compile(rf"\s{{{SPACE_RUN}}}")
+_SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{SPACE_RUN},}}")
 
 
 def encode(enc, text: str | None) -> list[int]:
@@ -49,8 +56,9 @@ def encode(enc, text: str | None) -> list[int]:
         return enc.encode_ordinary(text)
     out, at = [], 0
     for m in _SPACES.finditer(text):
-        out += enc.encode_ordinary(text[at : m.start()]) + enc.encode_ordinary(m[0])
-        at = m.end()
+        end = m.end() if m.end() == len(text) else m.end() - 1  # the last one belongs to the word that follows
+        out += enc.encode_ordinary(text[at : m.start()]) + enc._encode_single_piece(text[m.start() : end])
+        at = end
     return out + enc.encode_ordinary(text[at:])
 
 
@@ -112,53 +120,58 @@ def positions(cu: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    id_type = docs.schema[id_col].dataType.simpleString()
+def pieces(docs: DataFrame, id_col: str, text_col: str, width: int, vocabulary: str) -> DataFrame:
+    """(id, start, salt, ids) of the pieces of all documents; ``salt`` numbers equal rows of a task, in whatever order they come."""
 
     def run(batches):
         enc = encoder(vocabulary)
         end = end_id(enc)
         kind = "<u2" if end < 1 << 16 else "<u4"
+        step, seen = width * np.dtype(kind).itemsize, {}
         for b in batches:
-            held, size, at = [], 0, 0
-            for i, t in enumerate(b.column(1)):
+            held, size = [], 0
+            for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 ids = encode(enc, t.as_py())
                 ids.append(end)
-                held.append(np.array(ids, kind).tobytes())
-                size += len(held[-1])
+                data = np.array(ids, kind).tobytes()
+                name = hash((doc, data))
+                salt = seen[name] = seen.get(name, -1) + 1
+                held += [(doc, s // (step // width), salt, data[s : s + step]) for s in range(0, len(data), step)]
+                size += len(data)
                 if size > 8 << 20 or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(held)), pa.array(held, pa.binary())], names=[id_col, "ids"])
-                    held, size, at = [], 0, i + 1
+                    cols = [pa.array(c, k) for c, k in zip(zip(*held), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "salt", "ids"])
+                    held, size = [], 0
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, start int, salt int, ids binary")
 
 
 PACKED = "group long, row int, n_tokens int, n_segments int, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<int>, ids binary"
+_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+_NAMES = [c.split()[0] for c in PACKED.split(", ")]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
     """Packed rows of all documents."""
-    groups = max(1, -(-docs.count() // group))
-    salt = F.xxhash64(F.col(id_col), F.col("ids")) if docs.schema[id_col].nullable else F.xxhash64(id_col)
-    toks = tokenised(docs, id_col, text_col, vocabulary).withColumn("group", F.pmod(salt, F.lit(groups)))
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
+    groups = max(1, -(-(n + (size or 0) // (4 * width)) // group))  # a token has about four bytes
     wide = 2 if vocabulary_size(vocabulary) < 1 << 16 else 4
+    every = pieces(docs, id_col, text_col, width, vocabulary)
+    dealt = every.select("id", "start", "ids", F.pmod(F.xxhash64("id", "start", "salt", "ids"), F.lit(groups)).alias("group"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, docs_, g = table.column(1), table.column(0).to_pylist(), table.column(2)[0].as_py()
-        data = [x.as_py() for x in ids]
-        step = width * wide
-        todo = [(-min(step, len(d) - s), docs_[i] if docs_[i] is not None else -1, s, i) for i, d in enumerate(data) for s in range(0, len(d), step)]
-        todo.sort(key=lambda x: (*x[:3], data[x[3]]) if x[1] == -1 else x[:3])
-        rows = best_fit([-x[0] // wide for x in todo], width)
-        out = {c.split()[0]: [] for c in PACKED.split(", ")}
-        for r, members in enumerate(rows):
-            segs = [todo[k] for k in members]
-            cu = np.concatenate(([0], np.cumsum([-s[0] // wide for s in segs])))
-            for name, v in (("group", g), ("row", r), ("n_tokens", int(cu[-1])), ("n_segments", len(segs)), ("cu_seqlens", cu.tolist()), ("doc_ids", [None if docs_[s[3]] is None else s[1] for s in segs]), ("doc_starts", [s[2] // wide for s in segs]), ("ids", b"".join(data[s[3]][s[2] : s[2] - s[0]] for s in segs))):
-                out[name].append(v)
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=list(out))
-
-    return toks.select(F.col(id_col).cast("long").alias(id_col), "ids", "group").groupBy("group").applyInArrow(run, PACKED)
+        ids, starts, data = table.column("id").to_pylist(), table.column("start").to_pylist(), [x.as_py() for x in table.column("ids")]
+        g = table.column("group")[0].as_py()
+        order = sorted(range(len(data)), key=lambda i: (-len(data[i]), ids[i] is None, ids[i] or 0, starts[i], data[i]))
+        rows = []
+        for r, members in enumerate(best_fit([len(data[i]) // wide for i in order], width)):
+            segs = [order[k] for k in members]
+            cu = np.concatenate(([0], np.cumsum([len(data[i]) // wide for i in segs])))
+            rows.append((g, r, int(cu[-1]), len(segs), cu.tolist(), [ids[i] for i in segs], [starts[i] for i in segs], b"".join(data[i] for i in segs)))
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
+    return dealt.groupBy("group").applyInArrow(run, PACKED)
 
 
 def vocabulary_size(path: str) -> int:
@@ -175,29 +188,88 @@ def matrix(rows: list, width: int = WIDTH, pad: int = 0, kind: str = "<u2") -> n
     return out
 
 
+def resets(cu: list[int], width: int) -> np.ndarray:
+    """A bit for each place of a padded row: whether a segment starts there."""
+    out = np.zeros(width, np.uint8)
+    out[np.asarray(cu[:-1], np.int64)] = 1
+    return np.packbits(out)
+
+
+FILES = ("ids", "resets", "cu", "segments")
+_SEGMENTS = pa.schema([("group", pa.int64()), ("row", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32()))])
+
+
 def write_binary(packed: DataFrame, folder: str, width: int = WIDTH, kind: str = "<u2") -> DataFrame:
-    """Write every task's rows as ``.bin`` (the padded matrix) and ``.cu`` (cumulative lengths, int32, each row led by their number); returns the manifest.
+    """Write every task's rows as files of one name; returns the manifest (file, rows).  Only files that the manifest names count.
 
-    Only files that the returned manifest names count."""
+    ``.ids``: the matrix of ids, padded with zeros; ``.resets``: bits, a row of bytes for each row; ``.cu``: cumulative lengths (int32),
+    each row led by their number; ``.segments``: group, row, documents and starts, as an Arrow stream."""
 
     def run(batches):
         import uuid
+        from contextlib import ExitStack
 
         from pyarrow import fs as pafs
 
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        name, n, sinks = uuid.uuid4().hex, 0, None
-        for b in batches:
-            if sinks is None and b.num_rows:
-                sinks = [fs.open_output_stream(f"{path}/{name}.{x}", compression=None) for x in ("bin", "cu")]
-            for r in b.to_pylist():
-                sinks[0].write(matrix([r], width, 0, kind).tobytes())
-                sinks[1].write(np.array([len(r["cu_seqlens"]), *r["cu_seqlens"]], "<i4").tobytes())
-                n += 1
-        if sinks:
-            for s in sinks:
-                s.close()
+        name, n = uuid.uuid4().hex, 0
+        with ExitStack() as stack:
+            sinks = segments = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if sinks is None:
+                    sinks = {x: stack.enter_context(fs.open_output_stream(f"{path}/{name}.{x}", compression=None)) for x in FILES}
+                    segments = stack.enter_context(pa.ipc.new_stream(sinks["segments"], _SEGMENTS))
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    rows = part.to_pylist()
+                    sinks["ids"].write(matrix(rows, width, 0, kind).tobytes())
+                    sinks["resets"].write(b"".join(resets(r["cu_seqlens"], width).tobytes() for r in rows))
+                    sinks["cu"].write(b"".join(np.array([len(r["cu_seqlens"]), *r["cu_seqlens"]], "<i4").tobytes() for r in rows))
+                    segments.write_batch(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in _SEGMENTS], schema=_SEGMENTS))
+                n += b.num_rows
+        if n:
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "rows": pa.array([n], pa.int64())})
 
-    return packed.select("cu_seqlens", "ids").mapInArrow(run, "file string, rows long")
+    return packed.select("group", "row", "cu_seqlens", "doc_ids", "doc_starts", "ids").mapInArrow(run, "file string, rows long")
+
+
+def read_binary(manifest: DataFrame, partitions: int, width: int = WIDTH, kind: str = "<u2") -> DataFrame:
+    """The packed rows of all files of a manifest; files that disagree are an error."""
+    wide, marks = np.dtype(kind).itemsize, -(-width // 8)
+
+    def run(batches):
+        from contextlib import ExitStack
+
+        from pyarrow import fs as pafs
+
+        for uri, rows in ((u, n) for b in batches for u, n in zip(*(c.to_pylist() for c in b.columns))):
+            fs, path = pafs.FileSystem.from_uri(uri)
+            seen = 0
+            with ExitStack() as stack:
+                src = {x: stack.enter_context(fs.open_input_stream(f"{path}.{x}", compression=None)) for x in FILES}
+                for b in pa.ipc.open_stream(src["segments"]):
+                    out = []
+                    for s in b.to_pylist():
+                        ids, bits = src["ids"].read(width * wide), np.frombuffer(src["resets"].read(marks), np.uint8)
+                        cu = np.frombuffer(src["cu"].read(4 * int.from_bytes(src["cu"].read(4), "little")), "<i4").tolist()
+                        if np.flatnonzero(np.unpackbits(bits, count=width)).tolist() != cu[:-1] or len(cu) != len(s["doc_ids"]) + 1 or len(ids) != width * wide:
+                            raise ValueError(f"files of {uri} disagree")
+                        out.append((s["group"], s["row"], cu[-1], len(cu) - 1, cu, s["doc_ids"], s["doc_starts"], ids[: cu[-1] * wide]))
+                    seen += len(out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+                if seen != rows or any(src[x].read(1) for x in ("ids", "resets", "cu")):
+                    raise ValueError(f"{uri} has {seen} rows, its manifest {rows}")
+
+    return manifest.repartition(partitions).mapInArrow(run, PACKED)
+
+
+def packed_files(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Pack, write the files to the shared folder and give the rows that are read back from them."""
+    spark = docs.sparkSession
+    s = Scratch(spark, "packing")
+    kind = "<u2" if vocabulary_size(vocabulary) < 1 << 16 else "<u4"
+    manifest = s.cut(write_binary(pack(docs, width=width, vocabulary=vocabulary), s.path("matrices"), width, kind), "manifest")
+    return read_binary(manifest, shuffle_partitions(spark), width, kind)

@@ -363,21 +363,68 @@ def test_packing(request, table):
     assert len(out) <= full / 256 * 1.1 + 5
 
 
+def plain_packing(members, width):
+    """Longest first, each into the open row with the least room that is enough; of equal ones the last opened or filled."""
+    rows_, at = [], []
+    for n in members:
+        fit = [(room, -k, r) for k, (r, room) in enumerate(at) if room >= n]
+        if fit:
+            _, k, r = min(fit)
+            room = at.pop(-k)[1]
+        else:
+            rows_.append([])
+            r, room = len(rows_) - 1, width
+        rows_[r].append(n)
+        if room > n:
+            at.append((r, room - n))
+    return rows_
+
+
+def test_packing_against_a_plain_version(spark, docs):
+    """One group: the same rows as by looking through all open rows."""
+    out = sorted(packing.pack(docs, width=300, group=10**9).collect(), key=lambda r: r.row)
+    enc = packing.encoder()
+    lengths = []
+    for r in docs.collect():
+        n = len(packing.encode(enc, r.text)) + 1
+        lengths += [300] * (n // 300) + [n % 300] * (n % 300 > 0)
+    assert [[b - a for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])] for r in out] == plain_packing(sorted(lengths, reverse=True), 300)
+
+
 def test_packed_files(spark, docs, tmp_path):
     packed = packing.pack(docs.limit(20), width=512)
-    files = packing.write_binary(packed, "file://" + str(tmp_path / "f"), 512).collect()
-    rows_, got = 0, Counter()
-    for f in files:
-        m = np.fromfile(f.file.removeprefix("file://") + ".bin", "<u2").reshape(-1, 512)
-        cu = np.fromfile(f.file.removeprefix("file://") + ".cu", "<i4")
-        assert len(m) == f.rows
-        at = 0
-        for row in m:
-            n, c = cu[at], cu[at + 1 : at + 1 + cu[at]]
-            at += 1 + n
-            got[row[: c[-1]].tobytes()] += 1
-        rows_ += f.rows
-    assert rows_ == packed.count() and got == Counter(bytes(r.ids) for r in packed.collect())
+    files = packing.write_binary(packed, "file://" + str(tmp_path / "f"), 512)
+    want = {(r.group, r.row): r for r in packed.collect()}
+    files = Scratch(spark, "t").cut(files, "manifest")
+    assert {(r.group, r.row): r for r in packing.read_binary(files, 2, 512).collect()} == want
+    for f in files.collect():
+        path = f.file.removeprefix("file://")
+        m, bits = np.fromfile(path + ".ids", "<u2").reshape(f.rows, 512), np.unpackbits(np.fromfile(path + ".resets", np.uint8)).reshape(f.rows, 512)
+        cu, at = np.fromfile(path + ".cu", "<i4"), 0
+        for row, starts in zip(m, bits):
+            c = cu[at + 1 : at + 1 + cu[at]]
+            at += 1 + cu[at]
+            pos = packing.positions(c)
+            assert (np.flatnonzero(pos == 0) == np.flatnonzero(starts)).all() and any(bytes(r.ids) == row[: c[-1]].tobytes() for r in want.values()) and not row[c[-1] :].any()
+    with open(path + ".resets", "r+b") as f:
+        f.write(b"\x00")
+    with pytest.raises(Exception, match="disagree"):
+        packing.read_binary(files, 2, 512).collect()
+
+
+def test_packing_of_repeated_and_very_long_rows(spark):
+    """Equal rows, rows without an id and one very long text are spread over groups."""
+    long = prose(30_000)
+    df = spark.createDataFrame([(None, "same text in all", "en", "a")] * 3000 + [(5, "same id and text", "en", "a")] * 2000 + [(9, long, "en", "a")], SCHEMA)
+    out = packing.pack(df, width=64, group=200).collect()
+    per = Counter()
+    for r in out:
+        per[r.group] += r.n_segments
+    assert max(per.values()) < 400 and len(per) > 20
+    first = Counter(d for r in out for d, s in zip(r.doc_ids, r.doc_starts) if s == 0)
+    assert first == {None: 3000, 5: 2000, 9: 1}
+    parts = {s: np.frombuffer(r.ids, "<u2")[a:b].tolist() for r in out for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]) if d == 9}
+    assert packing.encoder().decode([t for s in sorted(parts) for t in parts[s]][:-1]) == long
 
 
 # ---------------------------------------------------------------- 9: decontamination

@@ -101,6 +101,9 @@ def test_long_runs_are_encoded():
     enc = packing.encoder()
     for text in (" " * 1_000_000, "a" * 300_000, "x" + "\n" * 25_000 + "y", "", "é" * 100_000, "# " * 50_000):
         assert enc.decode(packing.encode(enc, text)) == text
+    for run in (" " * 30_000, "\n" * 12_000, "\u3000 \t\n" * 6_000, "\x1c" * 20_000, " " * 9_999 + "\x85" * 3):  # ids are the tokenizer's own
+        for text in (run, run + "x", "a" + run, f"a{run}b {run}, c", run + "\x1cd", run + "éb"):
+            assert packing.encode(enc, text) == enc.encode_ordinary(text)
 
 
 def test_positions_restart():
