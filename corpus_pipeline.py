@@ -34,7 +34,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of token ids."""
-    return packing.pack(docs)
+    return packing.packed_files(docs)
 
 
 STAGES = [
