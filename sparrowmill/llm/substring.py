@@ -10,8 +10,10 @@ Documents are dealt by a hash of their id into sub-batches and written once, buc
 need no further shuffle of them.  Probes and windows are shuffled as packed arrays, a row for each sub-batch and range of hashes, and
 each hash once a sub-batch: a passage that very many documents share adds one entry for each sub-batch, not one for each document.
 
-Order is by id, then start; rows without an id come last, by a digest of their text; rows with equal ids by text.  A null or empty
-text has no words.  A document is worked on whole, however long.
+Order is by id, then start; rows with equal ids, and rows without one (which come last), by a digest of their text, and are dealt by it,
+too, so neither is one group.  Equal rows are first looked for by digests; if there are any, they are counted, one of them is worked on,
+and the others, which come after it, lose all words if they have a window.  A null or empty text has no words.  A document is worked on
+whole, however long.  An empty table gives no rows; columns but id and text aren't read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from sparrowmill.llm.common import WORD_POWERS_2, Scratch, U, pack_u64, pieces,
 WINDOW = 20
 BLOCK = WINDOW // 2
 LOW = U((1 << 40) - 1)
+#: Copies of a row that are made at once.
+EXPAND = 100_000
 #: Runs of words that a range of hashes has, about.
 RANGE = 2_500_000
 
@@ -136,11 +140,11 @@ def anchors(probe_rows: DataFrame) -> DataFrame:
     return probe_rows.groupBy("part").applyInArrow(run, schema)
 
 
-WINDOWS = "part int, sb long, hashes binary, tails binary, docs binary, who binary, place binary"
+WINDOWS = "part int, sb long, hashes binary, tails binary, docs binary, digests binary, who binary, place binary"
 
 
 def _sort(t: pa.Table) -> pa.Table:
-    return t.sort_by([("ord", "ascending"), ("text", "ascending")])
+    return t.sort_by([("ord", "ascending"), ("digest", "ascending")])
 
 
 def _full(b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,14 +176,14 @@ def candidate_windows(table: DataFrame, anchor_rows: DataFrame, ranges: int) ->
             first = np.ones(len(order), bool)
             first[1:] = (h[order][1:] != h[order][:-1]) | (tail[order][1:] != tail[order][:-1])
             o = order[first]
-            ids = left.column("ord").to_numpy()
+            ids, digests = left.column("ord").to_numpy(), left.column("digest").to_numpy()
             part = _range_of(h[o], ranges)
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(o) else []
             sb = left.column("sb")[0].as_py()
             for a, z in zip(cut, np.append(cut[1:], len(o))):
                 w = at[o[a:z]]
                 docs, who = np.unique(b.doc[w], return_inverse=True)
-                rows.append((int(part[a]), sb, h[o[a:z]].tobytes(), tail[o[a:z]].astype("<u4").tobytes(), ids[docs].tobytes(), who.astype("<u4" if len(docs) > 65535 else "<u2").tobytes(), b.place(w).astype("<u4").tobytes()))
+                rows.append((int(part[a]), sb, h[o[a:z]].tobytes(), tail[o[a:z]].astype("<u4").tobytes(), ids[docs].tobytes(), digests[docs].tobytes(), who.astype("<u4" if len(docs) > 65535 else "<u2").tobytes(), b.place(w).astype("<u4").tobytes()))
         return pa.Table.from_batches([_arrow(rows, WINDOWS)])
 
     return table.groupBy("sb").cogroup(anchor_rows.groupBy("sb")).applyInArrow(run, WINDOWS)
@@ -192,16 +196,17 @@ def later_windows(window_rows: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         sb = t.column("sb").to_pylist()
         get = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(c)]
-        hs, tails, docs = get("hashes", "<u8"), get("tails", "<u4"), get("docs", "<i8")
+        hs, tails, docs, digests = get("hashes", "<u8"), get("tails", "<u4"), get("docs", "<i8"), get("digests", "<i8")
         who = [np.frombuffer(x.as_py(), "<u4" if len(d) > 65535 else "<u2") for x, d in zip(t.column("who"), docs)]
         h, tail = np.concatenate(hs), np.concatenate(tails)
-        ids, place = np.concatenate([d[w] for d, w in zip(docs, who)]), np.concatenate(get("place", "<u4"))
+        ids, digest = (np.concatenate([d[w] for d, w in zip(x, who)]) for x in (docs, digests))
+        place = np.concatenate(get("place", "<u4"))
         order = np.argsort(h, kind="stable")
         s = h[order]
         same = np.concatenate(([False], s[1:] == s[:-1]))
         shared = same | np.append(same[1:], False)
         order = order[shared]  # windows that occur in one sub-batch only are first
-        order = order[np.lexsort((place[order], ids[order], tail[order], h[order]))]
+        order = order[np.lexsort((place[order], digest[order], ids[order], tail[order], h[order]))]
         late = np.zeros(len(h), bool)
         late[order[1:]] = (h[order][1:] == h[order][:-1]) & (tail[order][1:] == tail[order][:-1])
         n = np.array([len(x) for x in hs])
@@ -212,7 +217,7 @@ def later_windows(window_rows: DataFrame) -> DataFrame:
     return window_rows.groupBy("part").applyInArrow(run, schema)
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats string"
+RESULT = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string, repeats string"
 
 
 def _repeated(b: _Batch, late: np.ndarray) -> np.ndarray:
@@ -246,7 +251,7 @@ def verdicts(table: DataFrame, late_rows: DataFrame) -> DataFrame:
             late["h"] = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in right.column("hashes")])
             late["t"] = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in right.column("tails")])
         gone = _repeated(b, late)
-        ids, rows = left.column("doc_id").to_pylist(), []
+        ids, copies, rows = left.column("doc_id").to_pylist(), left.column("copies").to_pylist(), []
         for k, t in enumerate(texts):
             own = gone[b.first[k] : b.first[k + 1]]
             words = (t.as_py() or "").encode().split()
@@ -255,7 +260,7 @@ def verdicts(table: DataFrame, late_rows: DataFrame) -> DataFrame:
                 words = [w for w, g in zip(words, own) if not g]
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
                 spans = ",".join(f"{a}:{z}" for a, z in zip(edge[::2], edge[1::2]))
-            rows.append((ids[k], len(own), int(own.sum()), hashlib.sha256(b" ".join(words)).hexdigest(), spans))
+            rows.append((ids[k], copies[k], len(own), int(own.sum()), hashlib.sha256(b" ".join(words)).hexdigest(), spans))
         return pa.Table.from_batches([_arrow(rows, RESULT)])
 
     return table.groupBy("sb").cogroup(late_rows.groupBy("sb")).applyInArrow(run, RESULT)
@@ -275,26 +280,48 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     s = Scratch(spark, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    # rows without an id are ordered by their text
+    none = F.col("doc_id").isNull()
+    rows = rows.select("doc_id", F.when(none, 1 << 62).otherwise(F.col("doc_id")).alias("ord"), F.xxhash64("text").alias("digest"), "text")
+    seen = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    n, size, most = seen.agg(F.sum("n"), F.sum("size"), F.max("n")).first()
+    if (most or 0) > 1:  # one of equal rows is worked on; they are combined within tasks before they are shuffled
+        rows = rows.groupBy("doc_id", "ord", "digest", "text").agg(F.count(F.lit(1)).alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     words = (size or 0) / 6 + 1
     ranges = int(max(1, words // RANGE))
     per_batch = min(1 << 20, max(1 << 16, 200 * ranges))  # words, about
-    batches = int(max(1, n // max(8, per_batch * (n or 1) / words)))
-    none = F.col("doc_id").isNull()
-    # rows without an id are dealt, and ordered, by their text
-    rows = rows.withColumn("ord", F.when(none, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)).otherwise(F.col("doc_id")))
-    rows = rows.withColumn("sb", F.pmod(F.xxhash64("ord"), F.lit(batches)).cast("long"))
+    batches = int(max(1, (n or 0) // max(8, per_batch * (n or 1) / words)))
+    rows = rows.withColumn("sb", F.pmod(F.xxhash64("ord", "digest"), F.lit(batches)).cast("long"))
     parts = max(shuffle_partitions(spark), min(batches, spark.sparkContext.defaultParallelism))
     name = f"sparrowmill_{uuid.uuid4().hex}"
-    rows.repartition(parts, "sb").sortWithinPartitions("sb").write.bucketBy(parts, "sb").sortBy("sb").option("compression", "zstd").option("path", s.path("texts")).saveAsTable(name)
-    release(spark)
-    table = spark.table(name)
-    found = s.cut(anchors(probes(table, ranges)), "anchors")
-    release(spark)
-    late = s.cut(later_windows(candidate_windows(table, found, ranges)), "late")
-    s.drop("anchors")
-    release(spark)
-    out = s.cut(verdicts(table, late), "result")
-    spark.sql(f"DROP TABLE {name}")
-    s.drop("texts", "late")
-    return out.withColumnRenamed("doc_id", id_col)
+    try:
+        rows.repartition(parts, "sb").sortWithinPartitions("sb").write.bucketBy(parts, "sb").sortBy("sb").option("compression", "zstd").option("path", s.path("texts")).saveAsTable(name)
+        release(spark)
+        table = spark.table(name)
+        found = s.cut(anchors(probes(table, ranges)), "anchors")
+        release(spark)
+        late = s.cut(later_windows(candidate_windows(table, found, ranges)), "late")
+        s.drop("anchors")
+        release(spark)
+        out = s.cut(verdicts(table, late), "result")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        s.drop("texts", "late")
+    if (most or 0) > 1:
+        out = _with_copies(out)
+    return out.drop("copies").withColumnRenamed("doc_id", id_col)
+
+
+def _with_copies(out: DataFrame) -> DataFrame:
+    """Every row as often as it was there: the copies have all words removed if they have a window, else none."""
+    steps = out.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / EXPAND))))
+    some = steps.filter("copies > 1").repartition("doc_id", "kept_sha256", "step")
+    last = F.least(F.col("copies"), (F.col("step") + 1) * EXPAND) - 1
+    some = some.withColumn("k", F.explode(F.sequence(F.col("step") * EXPAND, last)))
+    gone = (F.col("k") > 0) & (F.col("n_words") >= WINDOW)
+    some = some.withColumn("n_removed", F.when(gone, F.col("n_words")).otherwise(F.col("n_removed")))
+    some = some.withColumn("kept_sha256", F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")))
+    some = some.withColumn("repeats", F.when(gone, F.concat(F.lit("0:"), F.col("n_words").cast("string"))).otherwise(F.col("repeats")))
+    return steps.filter("copies = 1").drop("step").unionByName(some.drop("step", "k"))

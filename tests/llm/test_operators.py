@@ -510,6 +510,26 @@ def test_substrings_of_repeated_rows(spark):
     assert Counter(got) == Counter([(1, 150, 0), (1, 150, 150), (None, 150, 150), (None, 150, 150), (2, 70, 0), (None, 0, 0)])
 
 
+def test_substrings_of_hot_rows(spark, monkeypatch):
+    """Thousands of rows without an id, of one id, and equal ones: no sub-batch has them all, and results equal brute force in digest order."""
+    rng = random.Random(8)
+    passage = prose(40, rng)
+    same = [(None, passage, "en", "a")] * 3000 + [(4, prose(25, rng), "en", "a")] * 2000 + [(4, "few words", "en", "a")] * 500
+    other = [(None, f"{prose(15, rng)} {passage if k % 9 == 0 else ''} {k}", "en", "a") for k in range(800)] + [(7, f"{k} {prose(30, rng)}", "en", "a") for k in range(800)]
+    df = spark.createDataFrame(same + other, SCHEMA).repartition(4)
+    monkeypatch.setattr(substring, "EXPAND", 300)
+    dealt = []
+    real = substring.probes
+    monkeypatch.setattr(substring, "probes", lambda table, ranges: dealt.append((table.count(), [r["count"] for r in table.groupBy("sb").count().collect()])) or real(table, ranges))
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(df).collect())
+    assert dealt[0][0] == len(other) + 3  # equal rows are one
+    digest = {r.text: r.d for r in df.select("text", substring.F.xxhash64("text").alias("d")).distinct().collect()}
+    order = sorted(same + other, key=lambda r: (r[0] is None, r[0] or 0, digest[r[1]]))
+    want = brute.substring([(k, r[1]) for k, r in enumerate(order)])
+    assert got == Counter((r[0], *want[k]) for k, r in enumerate(order))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("sparrowmill_")]
+
+
 # ---------------------------------------------------------------- empty tables, the queries and the pipeline
 
 
