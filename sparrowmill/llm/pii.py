@@ -9,6 +9,8 @@ Base kinds, in this order: ``email``, ``ip``, ``card``, ``phone``.  Added kinds:
 ``iban`` (checksum), ``account`` (digits after a cue) and ``secret`` (a value after a cue, or an access key).
 
 A null or empty text has no spans; very long texts are parsed whole; repeated rows each give their row.
+Spans of two kinds may overlap, and of one kind don't: the leftmost counts.  An empty table gives no rows; columns but id and text
+aren't read.
 """
 
 from __future__ import annotations
@@ -147,24 +149,24 @@ def digest_columns(text: str | None, automaton) -> tuple:
     for s in spans:
         n[s[2]] += 1
     base = ",".join(f"{k}:{a}:{b}" for a, b, k in spans if k in BASE_KINDS)
-    return (*(n[k] for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in spans))
+    return (*(n[k] for k in BASE_KINDS), len(spans), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in spans))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of every row: its id, counts of the base kinds, the digest of base spans and all spans.  Other columns are not read."""
+    """Spans of every row: its id, counts of the base kinds and of all kinds, the digest of base spans and all spans."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         automaton = anchors()
         for b in batches:
             rows = [digest_columns(t.as_py(), automaton) for t in b.column(1)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
+            cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-                names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])],
+                names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_sha256", "spans"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -6,7 +6,9 @@ only fall as they rise (``FALLING``); splits that would break this are not taken
 of the split, as usual.
 
 Words are runs of characters other than ASCII white space.  A null or empty text has no words and fails the first rule.  Repeated
-rows are scored alike.  If there are no labels of both classes, the verdict of the trees is to keep.
+rows are scored alike; a score of exactly 0.5 is kept.  If there are no labels of both classes, the verdict of the trees is to keep.
+Rows without an id are judged, but never fitted on; an empty table gives no rows.  Columns but id and text aren't read (with
+``whole_rows`` they are carried, whatever their names).
 """
 
 from __future__ import annotations

@@ -82,6 +82,30 @@ def test_pii(request, table):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in brute.base_spans(text[i])) for k in pii.BASE_KINDS]
 
 
+def test_pii_added_kinds_are_found(spark):
+    """Every value after a cue in a whole table, by a plain pattern; and each account and IBAN that is put into texts."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    plain = re.compile(r"\b(?:token|password|api_key|secret) ?[:=] ?\"?([0-9a-f]{8,})")
+    found = planted = 0
+    got = rows(pii.scan(docs))
+    for r in docs.filter("text rlike 'token|password|api_key|secret'").collect():
+        spans = set(got[r.doc_id].spans.split(","))
+        for m in plain.finditer(r.text):
+            planted, found = planted + 1, found + (f"secret:{m.start(1)}:{m.end(1)}" in spans)
+        assert got[r.doc_id].n_spans == len(spans - {""})
+    assert planted > 50 and found == planted
+    rng, texts = random.Random(6), []
+    for k in range(200):
+        digits = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(digits + "131400") % 97  # DE00 moved to the end, letters as numbers
+        value = (f"IBAN DE{check:02d}{digits}", f"account number {digits[:10]}", f"https://user:pw{digits[:4]}@host.example/x")[k % 3]
+        texts.append((k, f"{prose(5, rng)} {value} {prose(5, rng)}", value))
+    got = rows(pii.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")))
+    assert all(any(x.split(":")[0] == ("iban", "account", "url")[k % 3] for x in got[k].spans.split(",")) for k, _, _ in texts)
+
+
 @pytest.mark.parametrize("table", ["docs", "edges"])
 def test_quality(request, spark, sf, docs, table):
     df = request.getfixturevalue(table)
