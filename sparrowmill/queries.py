@@ -5,17 +5,20 @@ the order of summing."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sparrowmill import operators as ops
-from sparrowmill.plans.cardinality import Injected
+from sparrowmill.errors import EngineError
+from sparrowmill.plans import tools
+from sparrowmill.plans.cardinality import CartesianProduct, Injected
 from sparrowmill.session import Engine
 from sparrowmill.sources import dsv, sinks
 from sparrowmill.types import DATE, INT8, Type
@@ -26,22 +29,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-#: Schemas of files by path, so that footers are read once.
-_SCHEMAS: dict[str, StructType] = {}
+#: Engines of queries whose results read their tables, and local folders; both go when the process ends.
+_OPEN: list[Engine] = []
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+@atexit.register
+def _clean() -> None:
+    for e in _OPEN:
+        try:
+            e.close()
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
 
 
 def engine(spark: SparkSession, sf_dir: str, text: str | None = None, **options) -> Engine:
     """An engine over the driver's tables, or over those that a text names."""
     e = Engine(spark, **options)
+    _OPEN.append(e)
     for name in TABLES:
         if text is None or re.search(rf"\b{name}\b", text):
-            e.register(name, read(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"))
+            e.register(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
     return e
 
 
@@ -178,7 +185,7 @@ add("join_order_injected", _CHAIN, _CHAIN, enumerator="DPccp", estimator=Injecte
 @query(_ORDERED)
 def join_order_statistics(spark, sf_dir):
     """Join order from learned column statistics."""
-    e = engine(spark, sf_dir, enumerator="DPccp")
+    e = engine(spark, sf_dir, _ORDERED, enumerator="DPccp")
     e.execute("\\learn_spns;")
     return e.sql(_ORDERED)
 
@@ -261,7 +268,12 @@ def join_null_keys(spark, sf_dir):
 def _folder(spark: SparkSession) -> str:
     """A folder for files of a query: shared on a cluster, temporary in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(root, os.urandom(6).hex()) if root else tempfile.mkdtemp(prefix="sparrowmill-")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        root = tempfile.mkdtemp(prefix="sparrowmill-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return os.path.join(root, os.urandom(6).hex())
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS d FROM orders")
@@ -285,7 +297,7 @@ def ddl_insert(spark, sf_dir):
 @query("SELECT * FROM (VALUES (1, 'old')) AS t(k, v)")
 def mvcc_snapshot(spark, sf_dir):
     """What a table with row versions held at an earlier timestamp."""
-    e = Engine(spark, multi_versioning=True)
+    e = engine(spark, sf_dir, "", multi_versioning=True)
     e.execute('CREATE DATABASE d; USE d; CREATE TABLE t (k INT(4), v CHAR(3)); INSERT INTO t VALUES (1, "old");')
     then = e._clock
     e.execute('INSERT INTO t VALUES (2, "new");')
@@ -325,3 +337,215 @@ def pre_post_hooks(spark, sf_dir):
     return e.sql("SELECT r_regionkey, r_name FROM region LIMIT 1")
 
 
+# ---------------------------------------------------------------- decimals, names, shared aggregates, orders that are there already
+
+
+def _money(spark, sf_dir, **options) -> Engine:
+    """Orders with a price in decimals of two digits."""
+    e = engine(spark, sf_dir, "", **options)
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    e.register("money", spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", price.alias("price")))
+    return e
+
+
+_MONEY = "(SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM orders)"
+
+
+@query(f"SELECT o_orderstatus, CAST(SUM(price) AS DECIMAL(19,2)) AS s, MIN(price) AS lo, MAX(price) AS hi, COUNT(price) AS n FROM {_MONEY} GROUP BY o_orderstatus")
+def decimal_sum(spark, sf_dir):
+    return _money(spark, sf_dir).sql("SELECT o_orderstatus, SUM(price) AS s, MIN(price) AS lo, MAX(price) AS hi, COUNT(price) AS n FROM money GROUP BY o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, CAST(price + 1 AS DOUBLE) AS a, CAST(price - price AS DOUBLE) AS b FROM {_MONEY} WHERE price > 150000.25")
+def decimal_arithmetic(spark, sf_dir):
+    df = _money(spark, sf_dir).sql("SELECT o_orderkey, price + 1 AS a, price - price AS b FROM money WHERE price > 150000.25")
+    return df.select("o_orderkey", *(F.col(c).cast("double").alias(c) for c in "ab"))
+
+
+add("duplicate_names", "SELECT n_name AS a, n_nationkey AS a, n_regionkey AS a FROM nation", 'SELECT n_name AS a, n_nationkey AS "a$1", n_regionkey AS "a$2" FROM nation')
+add("agg_shared", "SELECT SUM(o_custkey) AS s, SUM(o_custkey) + COUNT(*) AS t, COUNT(*) AS n FROM orders HAVING COUNT(*) > 0 AND SUM(o_custkey) > 0", "SELECT CAST(SUM(o_custkey) AS BIGINT) AS s, CAST(SUM(o_custkey) + COUNT(*) AS BIGINT) AS t, COUNT(*) AS n FROM orders")
+add("group_by_sorted", "SELECT k, COUNT(*) AS n FROM (SELECT o_custkey AS k FROM orders ORDER BY o_custkey) AS q GROUP BY k", "SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+add("order_sorted", "SELECT k FROM (SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey) AS q ORDER BY k", "SELECT n_nationkey AS k FROM nation ORDER BY 1")
+add("join_unique_build", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_custkey < 50", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_custkey < 50", join_hint="SHUFFLE_HASH")
+add("join_build_side", "SELECT n_name, COUNT(*) AS n FROM nation, customer WHERE c_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, COUNT(*) AS n FROM nation, customer WHERE c_nationkey = n_nationkey GROUP BY n_name", join_hint="BROADCAST")
+add("comments_and_empty_statements", "-- a comment\nSELECT r_name -- another\n FROM region", "SELECT r_name FROM region")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 90 AND o_orderkey < 140")
+def index_learned(spark, sf_dir):
+    """A range condition answered through an index of the method ``rmi``."""
+    e = engine(spark, sf_dir, "orders")
+    e.execute("CREATE INDEX learned ON orders USING rmi (o_orderkey);")
+    e.build_index("learned", _folder(spark))
+    return e.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 90 AND o_orderkey < 140")
+
+
+# ---------------------------------------------------------------- statements: every row says what came of one
+
+
+def outcome(e: Engine, script: str) -> str:
+    """``done``, or the kind of error that a script ends in."""
+    try:
+        e.execute(script)
+    except EngineError as x:
+        return type(x).__name__
+    return "done"
+
+
+def _outcomes(spark: SparkSession, e: Engine, *scripts: str) -> DataFrame:
+    return spark.createDataFrame([(k, outcome(e, s)) for k, s in enumerate(scripts)], "step int, result string")
+
+
+def _expected(*results: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}')" for k, r in enumerate(results)) + ") AS t(step, result)"
+
+
+@query(_expected("done", "done", "SemanticError", "done", "SemanticError", "done", "done"))
+def drop_database(spark, sf_dir):
+    e = engine(spark, sf_dir, "")
+    return _outcomes(spark, e, "CREATE DATABASE a;", "CREATE DATABASE b; USE a;", "DROP DATABASE a;", "DROP DATABASE b;", "DROP DATABASE b;", "DROP DATABASE IF EXISTS b;", "CREATE DATABASE b;")
+
+
+@query(_expected("done", "SemanticError", "done", "SemanticError", "SemanticError", "done"))
+def not_null_on_insert(spark, sf_dir):
+    e = engine(spark, sf_dir, "region")
+    create = "CREATE TABLE t (k INT(4) NOT NULL, s CHAR(3));"
+    return _outcomes(spark, e, create, 'INSERT INTO t VALUES (NULL, "a");', "INSERT INTO t VALUES (1, NULL);", 'INSERT INTO t VALUES (1);', 'INSERT INTO t VALUES ("x", "y");', 'INSERT INTO t VALUES (2, "b");')
+
+
+@query(_expected("done", "done", "SemanticError", "done", "SemanticError", "done"))
+def drop_table(spark, sf_dir):
+    e = engine(spark, sf_dir, "region")
+    return _outcomes(spark, e, "CREATE TABLE t (k INT(4)); CREATE TABLE u (k INT(4));", "DROP TABLE t;", "SELECT k FROM t;", "DROP TABLE IF EXISTS t, u;", "DROP TABLE u;", "CREATE TABLE t (j INT(8)); SELECT j FROM t;")
+
+
+@query(_expected("done", "SemanticError", "done", "SemanticError", "done", "done", "NotSupported"))
+def drop_index(spark, sf_dir):
+    e = engine(spark, sf_dir, "region")
+    make = "CREATE INDEX i ON region (r_regionkey);"
+    return _outcomes(spark, e, make, make, "DROP INDEX i;", "DROP INDEX i;", "DROP INDEX IF EXISTS i;", make, "CREATE UNIQUE INDEX j ON region (r_name);")
+
+
+@query(_expected("NotSupported", "NotSupported", "SemanticError", "done"))
+def parsed_only(spark, sf_dir):
+    """UPDATE and DELETE are parsed, then refused; aggregates aren't allowed in WHERE."""
+    e = engine(spark, sf_dir, "region")
+    return _outcomes(spark, e, 'UPDATE region SET r_name = "x" WHERE r_regionkey = 1;', "DELETE FROM region WHERE r_regionkey = 1;", "SELECT r_name FROM region WHERE COUNT(*) > 1;", "; ; -- nothing\n;")
+
+
+# ---------------------------------------------------------------- files and sinks
+
+
+_IMPORTED = "SELECT n_nationkey AS k, SUBSTRING(n_name, 1, 8) AS name, n_regionkey % 2 = 0 AS even FROM nation"
+
+
+def _imported(spark, sf_dir) -> tuple[Engine, str]:
+    """An empty table and a delimited file with a header for it."""
+    path = _folder(spark)
+    dsv.write(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), (F.col("n_regionkey") % 2 == 0).alias("even")), path)
+    e = engine(spark, sf_dir, "region")
+    e.execute("CREATE TABLE t (k INT(4) NOT NULL, name CHAR(8), even BOOL);")
+    return e, path
+
+
+@query(_IMPORTED)
+def import_dsv(spark, sf_dir):
+    e, path = _imported(spark, sf_dir)
+    e.execute(f'IMPORT INTO t DSV "{path}" HAS HEADER SKIP HEADER;')
+    return e.sql("SELECT k, name, even FROM t")
+
+
+@query(_IMPORTED)
+def load_csv(spark, sf_dir):
+    e, path = _imported(spark, sf_dir)
+    e.load_csv("t", path, has_header=True)
+    return e.sql("SELECT k, name, even FROM t")
+
+
+_KEYS = "SELECT n_nationkey AS k FROM nation ORDER BY 1"
+
+
+@query(_KEYS)
+def sink_callback(spark, sf_dir):
+    """Rows handed to a callback."""
+    seen: list = []
+    sinks.each(engine(spark, sf_dir, _KEYS).sql("SELECT n_nationkey AS k FROM nation"), lambda r: seen.append((r["k"],)))
+    return spark.createDataFrame(seen, "k int")
+
+
+@query("SELECT COUNT(*) AS n FROM lineitem")
+def sink_noop(spark, sf_dir):
+    """Everything is computed, nothing kept; the rows are counted on the way."""
+    return spark.createDataFrame([(sinks.dropped(engine(spark, sf_dir, "lineitem").sql("SELECT * FROM lineitem")),)], "n long")
+
+
+@query("SELECT n_nationkey // 7 AS part, COUNT(*) AS n FROM nation GROUP BY 1")
+def sink_windows(spark, sf_dir):
+    """A result in windows of seven rows."""
+    df = engine(spark, sf_dir, "nation").sql("SELECT n_nationkey FROM nation ORDER BY n_nationkey")
+    return spark.createDataFrame([(k, len(w)) for k, w in enumerate(sinks.windows(df, 7))], "part int, n long")
+
+
+@query("SELECT * FROM (VALUES ('0.5,100000,1e-05,9.9999997e-05,\"x\",TRUE'), ('-2.25,1e+16,123456.789,0,NULL,FALSE')) AS t(row)")
+def sink_print_types(spark, sf_dir):
+    """Floats and doubles with 8 and 16 significant digits at most."""
+    data = [(0.5, 100000.0, 1e-05, 0.0001, "x", True), (-2.25, 1e16, 123456.789, 0.0, None, False)]
+    return sinks.printed(spark.createDataFrame(data, "a float, b double, c double, d float, e string, f boolean"))
+
+
+# ---------------------------------------------------------------- join ordering: searches, costs, statistics, tools
+
+for _name, _search in (("zero", {"heuristic": "zero"}), ("beam", {"heuristic": "sum", "beam": 4}), ("weighted", {"heuristic": "GOO", "weight": 2.0}), ("topdown", {"heuristic": "sum", "vertex": "TopDown"})):
+    add(f"join_search_{_name}", _ORDERED, _ORDERED, enumerator="HeuristicSearch", search=_search)
+add("join_order_products", _CHAIN, _CHAIN, enumerator="GOO", estimator=CartesianProduct())
+
+
+@query(_CHAIN)
+def join_cost_fitted(spark, sf_dir):
+    """A join order by a cost that is fitted to measured times."""
+    cost = tools.TrainedCost.fit([(10, 10, 10), (100, 10, 50), (1000, 10, 900), (10, 1000, 20), (500, 500, 2000)], [0.1, 0.3, 2.1, 1.2, 3.4])
+    return engine(spark, sf_dir, _CHAIN, enumerator="DPccp", join_cost=cost).sql(_CHAIN)
+
+
+@query("SELECT * FROM (VALUES ('region', 1), ('nation', 1), ('customer', 1), ('region, nation', 1), ('nation, customer', 1), ('region, nation, customer', 1)) AS t(names, n)")
+def tool_cardinalities(spark, sf_dir):
+    """Made-up sizes: one for each connected set of a chain of three."""
+    got = tools.fake_cardinalities(["region", "nation", "customer"], {(0, 1), (1, 2)}, "main")["main"]
+    return spark.createDataFrame([(", ".join(x["relations"]), 1) for x in got], "names string, n int")
+
+
+@query("SELECT (SELECT COUNT(*) FROM region) + (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM nation WHERE n_regionkey IS NOT NULL) AS n")
+def tool_slices(spark, sf_dir):
+    """A counting query for each connected part of a query; their sum."""
+    text = "SELECT n.n_name FROM region AS r, nation AS n WHERE r.r_regionkey = n.n_regionkey"
+    e = engine(spark, sf_dir, text)
+    parts = [e.sql(s.rstrip(";").replace("COUNT(*)", "COUNT(*) AS n")) for s in tools.slices(e._one(text))]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return total.agg(F.sum("n").alias("n"))
+
+
+@query(_CHAIN)
+def graph_to_sql(spark, sf_dir):
+    """The planned SQL of a query, run by Spark alone."""
+    return spark.sql(engine(spark, sf_dir, _CHAIN, enumerator="DPccp").explain(_CHAIN, "graph2sql"))
+
+
+@query("SELECT * FROM (VALUES ('graph', TRUE), ('graphdot', TRUE), ('graph2sql', TRUE), ('formatted', TRUE)) AS t(mode, given)")
+def explain_modes(spark, sf_dir):
+    """What a shell shows of a query: its graph, as text and as a drawing, its SQL and Spark's plan."""
+    e, marks = engine(spark, sf_dir, _CHAIN), {"graph": "nation", "graphdot": "graph", "graph2sql": "SELECT", "formatted": "Scan parquet"}
+    return spark.createDataFrame([(m, mark in e.explain(_CHAIN, m)) for m, mark in marks.items()], "mode string, given boolean")
+
+
+@query("SELECT 20 AS n, 20 AS stamps")
+def statements_are_serial(spark, sf_dir):
+    """Statements of several threads: each has a timestamp of its own, and none is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = engine(spark, sf_dir, "region")
+    before = e._clock
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: e.execute(f"SELECT {k} AS k;"), range(20)))
+    return spark.createDataFrame([(len([x for x in e.times if x[0] == "Select"]), e._clock - before)], "n int, stamps int")

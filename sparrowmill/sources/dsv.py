@@ -6,6 +6,8 @@ of cells are dropped and don't count towards a row limit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,8 @@ from sparrowmill.errors import SemanticError
 from sparrowmill.types import Type
 
 
-#: Stands for a quoted empty string between the reader and the conversion.
-_EMPTY = "\x01"
+#: Stands for a quoted empty string between the reader and the conversion; no file has it, as it is made anew in every process.
+_EMPTY = f"\x01{uuid.uuid4().hex}"
 
 
 def convert(cell: Column, ty: Type) -> Column:

@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def number(c: Column, digits: int) -> Column:
+    """A floating-point number with so many significant digits, without trailing zeros, with an exponent if it is below -4 or no less than ``digits``."""
+    sci = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+    exp = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
+    own = F.regexp_replace(F.regexp_extract(sci, r"^-?([0-9.]+)", 1), r"\.", "")
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    large = F.concat(F.substring(own, F.lit(1), exp + 1), F.lit("."), F.substring(own, exp + 2, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), own)
+    science = F.concat(bare(F.concat(F.substring(own, 1, 1), F.lit("."), F.substring(own, 2, digits))), F.lit("e"), F.regexp_extract(sci, r"e([+-]\d+)$", 1))
+    text = F.when((exp < -4) | (exp >= digits), science).when(exp >= 0, bare(large)).otherwise(bare(small))
+    signed = F.concat(F.when(sci.startswith("-"), "-").otherwise(""), text)
+    return F.when(c.isNull(), None).when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(signed)
+
+
 def printed(df: DataFrame) -> DataFrame:
     """One string column: each row as comma-separated values, strings in double quotes, NULL as NULL.  Dates of any era are rendered by Spark."""
     cells = []
@@ -18,6 +32,8 @@ def printed(df: DataFrame) -> DataFrame:
             c = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         elif isinstance(f.dataType, T.BooleanType):
             c = F.upper(c.cast("string"))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = number(c, 8 if isinstance(f.dataType, T.FloatType) else 16)
         else:
             c = c.cast("string")
         cells.append(F.coalesce(c, F.lit("NULL")))

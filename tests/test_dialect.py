@@ -3,12 +3,14 @@
 import pytest
 
 from sparrowmill import types as t
-from sparrowmill.errors import LexError, NotSupported, ParseError, SemanticError
+from sparrowmill.errors import EngineError, LexError, NotSupported, ParseError, SemanticError
 from sparrowmill.plans import cnf
 from sparrowmill.queries import engine
 from sparrowmill.session import Engine
+from sparrowmill.sources import dsv
 from sparrowmill.sql.lexer import tokens
 from sparrowmill.sql.parser import parse
+from sparrowmill.types import Type
 
 
 def one(text):
@@ -122,3 +124,19 @@ def test_bad_like_escape_fails(e):
 
 def test_dates_before_christ(spark):
     assert Engine(spark).sql("SELECT d'-0044-03-15' < d'0001-01-01' AS a").first().a is True
+
+
+def test_words_that_are_no_keywords(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, 2)], "ALL int, COMMIT int"))
+    assert e.sql("SELECT ALL, COMMIT AS ADD FROM t").columns == ["ALL", "ADD"]
+    with pytest.raises(EngineError):
+        e.sql("SELECT CASCADE FROM t")
+    e.close()
+
+
+def test_control_characters_in_delimited_files(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_bytes(b'a,b\n\x01,""\n"\x01x",\n')
+    got = dsv.read(spark, str(path), [("a", Type("char", 5)), ("b", Type("char", 5))], has_header=True).collect()
+    assert [tuple(r) for r in got] == [("\x01", ""), ("\x01x", None)]

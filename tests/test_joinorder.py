@@ -7,6 +7,7 @@ import pytest
 
 from sparrowmill.plans import joinorder as jo
 from sparrowmill.plans.cardinality import CartesianProduct, Equality, Injected, Relation, Statistics
+from sparrowmill.session import Engine
 
 OPTIMAL = ["DPsize", "DPsizeOpt", "DPsizeSub", "DPsub", "DPsubOpt", "DPccp", "TDbasic", "TDMinCutAGaT", "HeuristicSearch"]
 HEURISTIC = ["IKKBZ", "LinearizedDP", "GOO", "TDGOO"]
@@ -117,3 +118,43 @@ def test_tools():
     assert model(1, 1, 1) == pytest.approx(10)
     trained = jo.Graph(4, g.edges, g.sizes, model)
     assert jo.order(trained, "DPccp")[0] == pytest.approx(jo.order(trained, "DPsub")[0])
+
+
+def test_tdgoo_of_large_cliques():
+    """Cuts are tried along a spanning tree, so a clique of 24 relations takes no time."""
+    import time
+
+    g = jo.Graph(24, {(i, j) for i in range(24) for j in range(i)}, lambda s: float(10 ** s.bit_count()))
+    began = time.perf_counter()
+    cost, tree = jo.order(g, "TDGOO")
+    assert time.perf_counter() - began < 5 and cost > 0
+
+
+def test_search_options_and_cost_reach_the_search(spark, sf):
+    e = Engine(spark, enumerator="HeuristicSearch", search={"heuristic": "sum", "beam": 2})
+    for n in ("region", "nation", "customer"):
+        e.register(n, spark.read.parquet(f"{sf}/{n}.parquet"))
+    text = "SELECT COUNT(*) AS n FROM region, nation, customer WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey"
+    assert e.plan(text).graph.tree
+    e.options.search = {"heuristic": "none such"}
+    with pytest.raises(ValueError):
+        e.plan(text)
+    seen = []
+    e.options.search, e.options.enumerator, e.options.join_cost = None, "DPccp", lambda left, right, out: seen.append(out) or out
+    e.plan(text)
+    assert seen
+    e.options.search = {"beam": 1}
+    with pytest.raises(ValueError):
+        e.plan(text)
+    e.close()
+
+
+def test_hints_name_the_smallest_table_under_the_limit(spark, sf):
+    e = Engine(spark, join_hint="BROADCAST")
+    for n in ("nation", "lineitem"):
+        e.register(n, spark.read.parquet(f"{sf}/{n}.parquet"))
+    text = "SELECT COUNT(*) AS n FROM nation, lineitem WHERE n_nationkey = l_linenumber"
+    assert "BROADCAST(`nation`)" in e.plan(text).sql
+    e.options.broadcast_bytes = 10
+    assert "BROADCAST" not in e.plan(text).sql
+    e.close()
