@@ -288,3 +288,42 @@ def holds_items(docs: list[tuple[int, str]], items: dict[int, tuple[str, int]])
         for n in np.unique(np.searchsorted(bounds, np.flatnonzero(row <= k), "right") - 1):
             out[docs[n][0]].add(i)
     return out
+
+
+def linked_components(docs: list[tuple[int, str | None]], n: int = 3, percent: int = 85) -> dict[int, tuple[int, int]]:
+    """As ``components``, for more documents: sets with enough in common share one of their rarest shingles (the exact prefix filter)."""
+    by_set: dict[frozenset, list[int]] = defaultdict(list)
+    for i, t in docs:
+        by_set[frozenset(shingles(t, n))].append(i)
+    sets = [s for s in by_set if s]
+    count: dict = defaultdict(int)
+    for s in sets:
+        for g in s:
+            count[g] += 1
+    up = {i: i for i, _ in docs}
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for ids in by_set.values():
+        if by_set.get(frozenset()) is not ids:
+            for i in ids:
+                a, b = sorted((root(ids[0]), root(i)))
+                up[b] = a
+    index: dict = defaultdict(list)
+    for s in sorted(sets, key=len):
+        seen = set()
+        rare = sorted(s, key=lambda g: (count[g], g))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for g in rare:
+            for other in index[g]:
+                if id(other) not in seen and 100 * len(other) >= percent * len(s):
+                    seen.add(id(other))
+                    common = len(s & other)
+                    if 100 * common >= percent * (len(s) + len(other) - common):
+                        a, b = sorted((root(by_set[s][0]), root(by_set[other][0])))
+                        up[b] = a
+            index[g].append(s)
+    return {i: (len(s), root(i)) for s, ids in by_set.items() for i in ids}

@@ -330,6 +330,13 @@ def test_near_duplicates(request, table, n, percent):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_no_link_is_missed_in_a_larger_table(spark):
+    """Components of 10,000 documents equal those of an exact join."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = brute.linked_components([(r.doc_id, r.text) for r in df.collect()])
+    assert {i: (r.n_shingles, r.component_id) for i, r in rows(neardup.components(df)).items()} == want
+
+
 def test_chained_groups(spark):
     """Copies of copies: links that no centre has, found by the later rounds."""
     rng, texts = random.Random(11), [prose(120)]
