@@ -178,10 +178,10 @@ def _name(k: int):
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: id, size, source_size, target of its source, taken words."""
+    """Per document: id, size, source_size, target of its source, taken words.  Rows are equal if all columns are, as for ``mixed``."""
     s = Scratch(docs.sparkSession, "mix")
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("digest"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.struct(*docs.columns)).alias("digest"))
     got = mix(numbered(rows, s), s)
     return got.select(_name(3).cast(kind).alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
