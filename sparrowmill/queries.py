@@ -495,7 +495,7 @@ def sink_print_types(spark, sf_dir):
 
 # ---------------------------------------------------------------- join ordering: searches, costs, statistics, tools
 
-for _name, _search in (("zero", {"heuristic": "zero"}), ("beam", {"heuristic": "sum", "beam": 4}), ("weighted", {"heuristic": "GOO", "weight": 2.0}), ("topdown", {"heuristic": "sum", "vertex": "TopDown"})):
+for _name, _search in (("zero", {"heuristic": "zero"}), ("beam", {"heuristic": "sum", "beam": 4}), ("weighted", {"heuristic": "GOO", "weight": 2.0}), ("topdown", {"heuristic": "sum", "vertex": "TopDown"}), ("lazy", {"heuristic": "GOO", "lazy": True}), ("pruned", {"heuristic": "sum", "prune": True}), ("anytime", {"heuristic": "GOO", "weight": 3.0, "anytime": 1000})):
     add(f"join_search_{_name}", _ORDERED, _ORDERED, enumerator="HeuristicSearch", search=_search)
 add("join_order_products", _CHAIN, _CHAIN, enumerator="GOO", estimator=CartesianProduct())
 

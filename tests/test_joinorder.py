@@ -84,6 +84,36 @@ def test_search_variants():
         jo.heuristic_search(g, 63, "other")
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("seed", range(3))
+def test_lazy_pruned_and_anytime_searches(shape, seed):
+    g = graph(shape, 6, seed)
+    best, first = jo.order(g, "DPsub")[0], jo.heuristic_search(g, 63, "GOO", weight=3.0).best[63][0]
+    for vertex in ("BottomUp", "TopDown"):
+        for heuristic in ("zero", "sum"):
+            for more in ({"lazy": True}, {"prune": True}, {"lazy": True, "prune": True}, {"anytime": 10**9}, {"anytime": 10**9, "prune": True, "lazy": True, "weight": 5.0}):
+                t = jo.heuristic_search(g, 63, heuristic, vertex=vertex, **more)
+                assert sorted(leaves(t.best[63][1])) == list(range(6)) and t.best[63][0] == pytest.approx(best), more
+    for n in (1, 5, 50, 10**9):
+        assert best * (1 - 1e-9) <= jo.heuristic_search(g, 63, "GOO", weight=3.0, anytime=n).best[63][0] <= first * (1 + 1e-9)
+    assert jo.heuristic_search(g, 63, "GOO", weight=3.0, anytime=10**9).best[63][0] == pytest.approx(best)
+    assert jo.heuristic_search(g, 63, beam=1, prune=True).best[63][0] <= jo.goo(g, 63).best[63][0] * (1 + 1e-9)
+
+
+def test_lazy_search_computes_fewer_heuristics():
+    g, counts = graph("cycle", 7, 1), []
+    for lazy in (False, True):
+        asked = []
+        own = jo.HEURISTICS["sum"]
+        jo.HEURISTICS["sum"] = lambda *a: asked.append(1) or own(*a)
+        try:
+            jo.heuristic_search(g, 127, "sum", lazy=lazy)
+        finally:
+            jo.HEURISTICS["sum"] = own
+        counts.append(len(asked))
+    assert counts[1] <= counts[0]
+
+
 def test_estimators(spark):
     r = [Relation("a", "t", 100), Relation("b", "u", 10)]
     eq = [Equality((0, "k"), (1, "k"))]
