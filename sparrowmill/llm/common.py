@@ -26,7 +26,7 @@ PIECE_BYTES = 1 << 20
 #: Bytes of a task that writes a table of short rows, about.
 TASK_BYTES = 32 << 20
 #: Bytes of an Arrow batch between Spark and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)

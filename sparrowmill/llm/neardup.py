@@ -250,7 +250,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     release(spark)
     stars = compare(pairs, sets, known, s, "stars")
     label = connected_components(_linked(stars, percent), s, "cc0")
-    own = own_shingles(sets, int(max(1, total // 2_500_000)))
+    own = own_shingles(sets, int(max(1, total // 1_500_000)))
     own = s.cut(own.join(known.filter("sets = 1").select("id"), "id"), "own", upto)  # an id with several sets has no bound
     rest = s.cut(_chances(stars, own, label, percent, s, upto).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
