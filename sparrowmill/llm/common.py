@@ -7,6 +7,8 @@ works on the bytes and never decodes.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -100,6 +102,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system: Python workers stay for later tasks, and several of them share an executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by bytes: a batch is held several times on its way to Python and back, in every core."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -8,7 +8,9 @@ equal length are taken by id (rows without one last), start and tokens.
 
 ``write_binary`` writes packed rows as matrices of ids (little-endian, two bytes each if the vocabulary allows, else four), position
 resets (a bit for each token: whether its position is 0), cumulative segment lengths, and for each segment the document and its first
-token's offset in it; ``read_binary`` reads them again.
+token's offset in it; ``read_binary`` reads them again.  ``packed_files`` packs and writes in one Python worker a task, as groups come in; the
+manifest, a row for each task that wrote, goes by the driver, so no task writes through Hadoop, whose local file system starts a process
+for each file and folder.
 
 A null or empty text has no tokens but its end token.  Rows with equal ids, or none, are documents of their own; equal rows are numbered
 within a task, so they aren't all dealt to one group.  An empty table gives no rows; columns but id and text aren't read.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import Scratch, shuffle_partitions
+from sparrowmill.llm.common import BATCH_BYTES, TASK_BYTES, Scratch, shuffle_partitions, trim
 
 WIDTH = 2048
 GROUP = 500
@@ -138,10 +140,11 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, width: int, vocabulary:
                 salt = seen[name] = seen.get(name, -1) + 1
                 held += [(doc, s // (step // width), salt, data[s : s + step]) for s in range(0, len(data), step)]
                 size += len(data)
-                if size > 8 << 20 or i == b.num_rows - 1:
+                if size > BATCH_BYTES or i == b.num_rows - 1:
                     cols = [pa.array(c, k) for c, k in zip(zip(*held), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "salt", "ids"])
                     held, size = [], 0
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, start int, salt int, ids binary")
@@ -152,26 +155,53 @@ _TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()),
 _NAMES = [c.split()[0] for c in PACKED.split(", ")]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
-    """Packed rows of all documents."""
+def dealt(docs: DataFrame, id_col: str, text_col: str, width: int, vocabulary: str, group: int) -> DataFrame:
+    """(group, id, start, ids) of all pieces; a group's rows come one after the other."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
     groups = max(1, -(-(n + (size or 0) // (4 * width)) // group))  # a token has about four bytes
-    wide = 2 if vocabulary_size(vocabulary) < 1 << 16 else 4
     every = pieces(docs, id_col, text_col, width, vocabulary)
-    dealt = every.select("id", "start", "ids", F.pmod(F.xxhash64("id", "start", "salt", "ids"), F.lit(groups)).alias("group"))
+    rows = every.select(F.pmod(F.xxhash64("id", "start", "salt", "ids"), F.lit(groups)).alias("group"), "id", "start", "ids")
+    return rows.repartition("group").sortWithinPartitions("group")
+
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, starts, data = table.column("id").to_pylist(), table.column("start").to_pylist(), [x.as_py() for x in table.column("ids")]
-        g = table.column("group")[0].as_py()
-        order = sorted(range(len(data)), key=lambda i: (-len(data[i]), ids[i] is None, ids[i] or 0, starts[i], data[i]))
-        rows = []
-        for r, members in enumerate(best_fit([len(data[i]) // wide for i in order], width)):
-            segs = [order[k] for k in members]
-            cu = np.concatenate(([0], np.cumsum([len(data[i]) // wide for i in segs])))
-            rows.append((g, r, int(cu[-1]), len(segs), cu.tolist(), [ids[i] for i in segs], [starts[i] for i in segs], b"".join(data[i] for i in segs)))
-        return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+def pack_group(g: int, ids: list, starts: list[int], data: list[bytes], width: int, wide: int) -> pa.RecordBatch:
+    """Packed rows of one group's pieces."""
+    order = sorted(range(len(data)), key=lambda i: (-len(data[i]), ids[i] is None, ids[i] or 0, starts[i], data[i]))
+    rows = []
+    for r, members in enumerate(best_fit([len(data[i]) // wide for i in order], width)):
+        segs = [order[k] for k in members]
+        cu = np.concatenate(([0], np.cumsum([len(data[i]) // wide for i in segs])))
+        rows.append((g, r, int(cu[-1]), len(segs), cu.tolist(), [ids[i] for i in segs], [starts[i] for i in segs], b"".join(data[i] for i in segs)))
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
+
+def packer(width: int, vocabulary: str):
+    """Packs what ``dealt`` gives, in batches cut anywhere; one group is held at a time."""
+    wide = 2 if vocabulary_size(vocabulary) < 1 << 16 else 4
 
-    return dealt.groupBy("group").applyInArrow(run, PACKED)
+    def run(batches):
+        held, now = ([], [], []), None
+        for b in batches:
+            groups = np.asarray(b.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)] if len(groups) else [0]
+            for at, to in zip(cuts, cuts[1:]):
+                g = int(groups[at])
+                if g != now and held[0]:
+                    yield pack_group(now, *held, width, wide)
+                    held = ([], [], [])
+                now = g
+                for h, c in zip(held, b.columns[1:]):
+                    h += c.slice(at, to - at).to_pylist()
+        if held[0]:
+            yield pack_group(now, *held, width, wide)
+        trim()
+
+    return run
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
+    """Packed rows of all documents."""
+    return dealt(docs, id_col, text_col, width, vocabulary, group).mapInArrow(packer(width, vocabulary), PACKED)
 
 
 def vocabulary_size(path: str) -> int:
@@ -196,14 +226,12 @@ def resets(cu: list[int], width: int) -> np.ndarray:
 
 
 FILES = ("ids", "resets", "cu", "segments")
+MANIFEST = "file string, rows long"
 _SEGMENTS = pa.schema([("group", pa.int64()), ("row", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32()))])
 
 
-def write_binary(packed: DataFrame, folder: str, width: int = WIDTH, kind: str = "<u2") -> DataFrame:
-    """Write every task's rows as files of one name; returns the manifest (file, rows).  Only files that the manifest names count.
-
-    ``.ids``: the matrix of ids, padded with zeros; ``.resets``: bits, a row of bytes for each row; ``.cu``: cumulative lengths (int32),
-    each row led by their number; ``.segments``: group, row, documents and starts, as an Arrow stream."""
+def writer(folder: str, width: int, kind: str):
+    """Writes packed rows and gives a task's row of the manifest, if it has any."""
 
     def run(batches):
         import uuid
@@ -233,7 +261,15 @@ def write_binary(packed: DataFrame, folder: str, width: int = WIDTH, kind: str =
         if n:
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "rows": pa.array([n], pa.int64())})
 
-    return packed.select("group", "row", "cu_seqlens", "doc_ids", "doc_starts", "ids").mapInArrow(run, "file string, rows long")
+    return run
+
+
+def write_binary(packed: DataFrame, folder: str, width: int = WIDTH, kind: str = "<u2") -> DataFrame:
+    """Write every task's rows as files of one name; returns the manifest (file, rows).  Only files that the manifest names count.
+
+    ``.ids``: the matrix of ids, padded with zeros; ``.resets``: bits, a row of bytes for each row; ``.cu``: cumulative lengths (int32),
+    each row led by their number; ``.segments``: group, row, documents and starts, as an Arrow stream."""
+    return packed.select("group", "row", "cu_seqlens", "doc_ids", "doc_starts", "ids").mapInArrow(writer(folder, width, kind), MANIFEST)
 
 
 def read_binary(manifest: DataFrame, partitions: int, width: int = WIDTH, kind: str = "<u2") -> DataFrame:
@@ -262,14 +298,19 @@ def read_binary(manifest: DataFrame, partitions: int, width: int = WIDTH, kind:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
                 if seen != rows or any(src[x].read(1) for x in ("ids", "resets", "cu")):
                     raise ValueError(f"{uri} has {seen} rows, its manifest {rows}")
+        trim()
 
     return manifest.repartition(partitions).mapInArrow(run, PACKED)
 
 
 def packed_files(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pack, write the files to the shared folder and give the rows that are read back from them."""
+    """Pack, write the files to the shared folder and give the rows that are read back from them, in tasks of ``TASK_BYTES`` (but at least
+    eight a core) if those are fewer than the shuffle partitions."""
     spark = docs.sparkSession
-    s = Scratch(spark, "packing")
+    folder = Scratch(spark, "packing").path("matrices")
     kind = "<u2" if vocabulary_size(vocabulary) < 1 << 16 else "<u4"
-    manifest = s.cut(write_binary(pack(docs, width=width, vocabulary=vocabulary), s.path("matrices"), width, kind), "manifest")
-    return read_binary(manifest, shuffle_partitions(spark), width, kind)
+    packs, writes = packer(width, vocabulary), writer(folder, width, kind)
+    written = dealt(docs, "doc_id", "text", width, vocabulary, GROUP).mapInArrow(lambda batches: writes(packs(batches)), MANIFEST).collect()
+    size = sum(r["rows"] for r in written) * width * np.dtype(kind).itemsize
+    tasks = max(8 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return read_binary(spark.createDataFrame(written, MANIFEST), min(tasks, shuffle_partitions(spark)), width, kind)

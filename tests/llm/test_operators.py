@@ -1,14 +1,16 @@
 """Operators on a Spark session: whole small tables and edge cases against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
-from sparrowmill.llm import decontam, html_text, langid, mixing, neardup, packing, pii, quality, substring, warc
+from sparrowmill.llm import common, decontam, html_text, langid, mixing, neardup, packing, pii, quality, substring, warc
 from sparrowmill.llm.common import Scratch
 from sparrowmill.llm.components import connected_components
 from sparrowmill.llm.queries import QUERIES
@@ -458,6 +460,36 @@ def test_packing_of_repeated_and_very_long_rows(spark):
     assert packing.encoder().decode([t for s in sorted(parts) for t in parts[s]][:-1]) == long
 
 
+def plans_run(spark):
+    """Physical plans of the session's executions so far."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+
+def test_packed_files_take_one_worker_a_task(spark, docs):
+    """No task packs in one Python worker and writes in a second, or writes through Hadoop, which starts a process for each file."""
+    made, n = len(common._MADE), len(plans_run(spark))
+    out = packing.packed_files(docs, width=256)
+    files = [f for s in common._MADE[made:] for _, _, names in os.walk(s.root.removeprefix("file://")) for f in names]
+    assert files and {f.rpartition(".")[2] for f in files} == set(packing.FILES)
+    plans = plans_run(spark)[n:]
+    assert plans and not any("FlatMapGroupsInArrow" in p for p in plans)
+    key = lambda r: (r.group, r.row)
+    assert sorted(out.collect(), key=key) == sorted(packing.pack(docs, width=256).collect(), key=key)
+    assert packing.packed_files(docs.limit(0)).count() == 0
+
+
+def test_packing_of_batches_cut_anywhere():
+    """Groups that go on in the next batch, end with one, or are a batch's only row."""
+    rng = random.Random(4)
+    rows_ = [(g, rng.choice([None, *range(50)]), rng.randrange(3), bytes(2 * rng.randrange(1, 40))) for g in (0, 1, 2, 5, 9) for _ in range(rng.choice([1, 30]))]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows_), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["group", "id", "start", "ids"])
+    want = {g: packing.pack_group(g, *(list(c) for c in list(zip(*(r for r in rows_ if r[0] == g)))[1:]), 64, 2).to_pylist() for g in {r[0] for r in rows_}}
+    for size in (1, 2, 7, 31, 1000):
+        got = list(packing.packer(64, packing.VOCABULARY)(b for i in range(0, len(table), size) for b in table.slice(i, size).to_batches()))
+        assert [b.column(0)[0].as_py() for b in got] == sorted(want) and {b.column(0)[0].as_py(): b.to_pylist() for b in got} == want
+
+
 # ---------------------------------------------------------------- 9: decontamination
 
 
