@@ -660,3 +660,23 @@ def test_pipeline(spark, sf, docs):
     before, after = seen["packed tokens"]
     assert Counter(d for r in after.collect() for d, s in zip(r.doc_ids, r.doc_starts) if s == 0) == Counter(r.doc_id for r in before.collect())
     assert p.run(spark, sf).count() == after.count()
+
+
+def python_workers_a_task(plan):
+    """The most Python operators between two exchanges of a plan without branches that have some."""
+    most = now = 0
+    for line in plan.split("\n\n")[0].splitlines():
+        now = 0 if "Exchange" in line or "Plan ==" in line else now + ("InArrow" in line or "InPandas" in line)
+        most = max(most, now)
+    return most
+
+
+def test_pipeline_takes_one_python_worker_a_task(spark, sf, docs):
+    """Workers stay and are used in turn, so one stage with two a task doubles what all stages' workers hold of an executor's memory."""
+    import corpus_pipeline as p
+
+    now = docs
+    for name, stage in p.STAGES:
+        n = len(plans_run(spark))
+        now = Scratch(spark, "p").cut(stage(spark, now, sf), "stage")
+        assert {python_workers_a_task(x) for x in plans_run(spark)[n:]} <= {0, 1}, name
